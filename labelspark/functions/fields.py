@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelspark import fixed
-from labelspark.functions.text import matched, number, strip
+from labelspark.functions.text import matched, number, rounded, strip
 
 
 def _when_all(value: Column, *needed: Column) -> Column:
@@ -48,7 +48,7 @@ def _price(text: Column, confidence: Column, currency: Column, tier: Column) ->
     amount = number(matched(text, fixed.FIRST_NUMBER))
     return _when_all(
         F.struct(
-            F.round(amount, 2).alias("amount"), currency.alias("currency"),
+            rounded(amount, 2).alias("amount"), currency.alias("currency"),
             confidence.alias("confidence"), text.alias("raw_text"), tier.alias("tier"),
         ),
         amount,
@@ -77,7 +77,7 @@ def quantity_value(text: Column, confidence: Column) -> Column:
     value = number(matched(text, fixed.NUMBER_UNIT, 1))
     return _when_all(
         F.struct(
-            F.round(value, 2).alias("value"),
+            rounded(value, 2).alias("value"),
             F.lower(F.regexp_extract(text, fixed.NUMBER_UNIT, 2)).alias("unit"),
             confidence.alias("confidence"), text.alias("raw_text"),
         ),
@@ -144,7 +144,7 @@ def date_value(text: Column) -> Column:
             F.struct(
                 day.cast("int").alias("day"), month.cast("int").alias("month"),
                 _century(year).cast("int").alias("year"),
-                F.round(base * factor, 4).alias("confidence"), text.alias("raw_text"),
+                rounded(base * factor, 4).alias("confidence"), text.alias("raw_text"),
             ),
         )
 

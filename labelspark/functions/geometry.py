@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelspark import fixed
+from labelspark.functions.text import rounded
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -103,7 +104,7 @@ def barcode_scale(fmt: Column, width: Column, height: Column, has_image: Column
     )
     return F.struct(
         F.when(problem.isNull(), "ESTABLISHED").otherwise("NOT_VERIFIED").alias("status"),
-        F.when(problem.isNull(), F.round(long_side / fixed.SYMBOL_WIDTH_MM, 6)).alias("pixels_per_mm"),
+        F.when(problem.isNull(), rounded(long_side / fixed.SYMBOL_WIDTH_MM, 6)).alias("pixels_per_mm"),
         F.coalesce(
             problem, F.lit("decoded linear barcode matched configured GS1 nominal module geometry")
         ).alias("reason"),
@@ -120,6 +121,6 @@ def font_height_mm(font_px: Column, scale: Column) -> Column:
     )
     return F.struct(
         F.when(problem.isNull(), "ESTABLISHED").otherwise("NOT_VERIFIED").alias("status"),
-        F.when(problem.isNull(), F.round(F.try_divide(px, per_mm), 4)).alias("font_height_mm"),
+        F.when(problem.isNull(), rounded(F.try_divide(px, per_mm), 4)).alias("font_height_mm"),
         problem.alias("reason"),
     )

@@ -46,21 +46,30 @@ def number(text: Column) -> Column:
     return F.regexp_replace(text, ",", "").try_cast("double")
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Round half to even on the binary value, so 0.5075 (stored just below) gives 0.507.
+
+    `F.round` works on the decimal digits instead and would give 0.508.
+    """
+    scale = float(10**places)
+    return F.rint(value * scale) / scale
+
+
 def clamp_confidence(value: Column) -> Column:
     """Into [0, 1] with three decimals; unreadable is 0."""
     number_ = value.try_cast("double")
     usable = F.when(F.isnan(number_), 0.0).otherwise(F.coalesce(number_, F.lit(0.0)))
-    return F.round(F.least(F.greatest(usable, F.lit(0.0)), F.lit(1.0)), 3)
+    return rounded(F.least(F.greatest(usable, F.lit(0.0)), F.lit(1.0)), 3)
 
 
 def line_confidence(value: Column) -> Column:
     """OCR line confidence: never below 0, three decimals."""
-    return F.round(F.greatest(value, F.lit(0.0)), 3)
+    return rounded(F.greatest(value, F.lit(0.0)), 3)
 
 
 def token_confidence(value: Column) -> Column:
     """Percent confidence of a word token as a fraction; below 0 or unreadable is 0."""
-    return F.round(F.greatest(F.coalesce(value.try_cast("double"), F.lit(0.0)), F.lit(0.0)) / 100, 3)
+    return rounded(F.greatest(F.coalesce(value.try_cast("double"), F.lit(0.0)), F.lit(0.0)) / 100, 3)
 
 
 # ------------------------------------------------------------------ character confusions

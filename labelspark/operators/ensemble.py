@@ -7,8 +7,6 @@ is joined by text and box-grid cell, where only boxes that can overlap by half c
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,7 +149,7 @@ def ensemble(candidates: DataFrame) -> DataFrame:
             *_KEY, "candidates",
             F.when(agreed, "agreed").otherwise("conflict").alias("status"),
             value.alias("fused_value"), confidence.alias("fused_confidence"),
-            (F.coalesce("agreed_pairs", F.lit(0)) / 2).cast("long").alias("agreed_pairs"),
+            F.when(agreed, F.coalesce("agreed_pairs", F.lit(0)) / 2).otherwise(0).cast("long").alias("agreed_pairs"),
         )
         .withColumn(
             "verification_state",
@@ -184,7 +182,3 @@ def conflict_candidates(candidates: DataFrame, statuses: DataFrame) -> DataFrame
     return candidates.join(in_conflict, _KEY, "left_semi").withColumn(
         "description", F.concat_ws(":", "source_provider", "text")
     )
-
-
-def any_of(*columns: Column) -> Column:
-    return reduce(lambda a, b: a | b, columns)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from labelspark import fixed
 from labelspark.functions import fields
-from labelspark.functions.text import contains_any, holds_any, strip
+from labelspark.functions.text import contains_any, holds_any, rounded, strip
 from labelspark.operators.ordered import BLOCK, first_k, with_previous
 
 PANELS = ["front", "back"]
@@ -164,7 +164,7 @@ def caution_of() -> Column:
     return F.struct(
         present.alias("present"),
         F.coalesce(strip(text), F.lit("")).alias("text"),
-        F.when(present, F.round(confidence, 4)).otherwise(fixed.ABSENT_CAUTION_CONFIDENCE).alias("confidence"),
+        F.when(present, rounded(confidence, 4)).otherwise(fixed.ABSENT_CAUTION_CONFIDENCE).alias("confidence"),
         F.coalesce(text, F.lit("")).alias("raw_text"),
     )
 
@@ -304,7 +304,7 @@ def nutrition_facts(lines: DataFrame) -> DataFrame:
                 )
             ).cast(fact)
 
-        confidence = F.when(hit["value"].isNull(), 0.0).otherwise(F.round(line["confidence"], 4))
+        confidence = F.when(hit["value"].isNull(), 0.0).otherwise(rounded(line["confidence"], 4))
         usual = F.when(name["nutrient"] == "energy", "kcal").when(name["nutrient"] == "sodium", "mg").otherwise("g")
         return F.concat(
             found,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelspark import fixed
 from labelspark.functions.text import (
-    confusion_variants, line_confidence, line_key, strip, token_confidence,
+    confusion_variants, line_confidence, line_key, rounded, strip, token_confidence,
 )
 from labelspark.operators.extraction import panel_rank
 from labelspark.operators.ordered import first_rows, mark_first
@@ -41,7 +41,7 @@ def tokens_to_lines(tokens: DataFrame) -> DataFrame:
         (F.max(F.col("left") + F.col("width")) - x).alias("w"),
         (F.max(F.col("top") + F.col("height")) - y).alias("h"),
         # Thousandths add up exactly; a sum of doubles would depend on the order of rows.
-        F.round(F.sum(F.round(F.col("confidence") * 1000).cast("long")) / F.count("*") / 1000, 3)
+        rounded(F.sum(F.rint(F.col("confidence") * 1000).cast("long")) / F.count("*") / 1000, 3)
         .alias("confidence"),
     )
 

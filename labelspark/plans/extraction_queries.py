@@ -140,10 +140,10 @@ _AMOUNT = f"TRY_CAST(replace(regexp_extract(text, '{fixed.FIRST_NUMBER}', 0), ',
 PRICE_SQL = f"""
 firsts AS (SELECT scan_id, panel, arg_min(text, line_no) AS text, arg_min(confidence, line_no) AS confidence
   FROM v_label_lines GROUP BY ALL),
-spelled AS (SELECT scan_id, panel, round({_AMOUNT}, 2) AS amount, 'INR' AS currency, 1 AS tier, confidence, text AS raw_text
+spelled AS (SELECT scan_id, panel, round_even({_AMOUNT}, 2) AS amount, 'INR' AS currency, 1 AS tier, confidence, text AS raw_text
   FROM firsts WHERE contains(lower(text), 'maximum') AND contains(lower(text), 'retail')),
 price_best AS ({best_sql(fixed.MRP_WORDS, fixed.MRP_PATTERN)}),
-price_found AS (SELECT scan_id, panel, round({_AMOUNT}, 2) AS amount,
+price_found AS (SELECT scan_id, panel, round_even({_AMOUNT}, 2) AS amount,
    CASE WHEN regexp_matches(text, '(?i)USD|\\$') THEN 'USD' WHEN regexp_matches(text, '(?i)EUR|€') THEN 'EUR' ELSE 'INR' END AS currency,
    CASE WHEN contains(lower(text), 'price') AND NOT (contains(lower(text), 'retail') OR contains(lower(text), 'maximum'))
         THEN 2 ELSE 1 END AS tier, confidence, text AS raw_text
@@ -160,7 +160,7 @@ q_line AS (SELECT scan_id, panel, text, confidence FROM q_best
   WHERE regexp_matches(text, '{_NU}') AND NOT EXISTS
    (SELECT 1 FROM q_best b WHERE b.scan_id = l.scan_id AND b.panel = l.panel) GROUP BY scan_id, panel),
 q_any AS (SELECT scan_id, panel,
-   round(TRY_CAST(replace(regexp_extract(text, '{_NU}', 1), ',', '') AS DOUBLE), 2) AS value,
+   round_even(TRY_CAST(replace(regexp_extract(text, '{_NU}', 1), ',', '') AS DOUBLE), 2) AS value,
    lower(regexp_extract(text, '{_NU}', 2)) AS unit, confidence, text AS raw_text FROM q_line),
 q_valued AS (SELECT * FROM q_any WHERE value IS NOT NULL),
 quantity AS ({panel_choice('q_valued', 'front')})"""
@@ -225,7 +225,7 @@ def date_sql(name: str, words: list[str], first: str = "back") -> str:
    CASE WHEN m1 BETWEEN 1 AND 12 AND d1 BETWEEN 1 AND 31 THEN m1 WHEN m2 BETWEEN 1 AND 12 THEN m2 ELSE m3 END AS month,
    CASE WHEN m1 BETWEEN 1 AND 12 AND d1 BETWEEN 1 AND 31 THEN {century.format('y1')}
         WHEN m2 BETWEEN 1 AND 12 THEN {century.format('y2')} ELSE {century.format('y3')} END AS year,
-   round(CASE WHEN (m1 BETWEEN 1 AND 12 AND d1 BETWEEN 1 AND 31) OR m2 BETWEEN 1 AND 12 THEN c * 0.8::DOUBLE ELSE c * 0.85::DOUBLE END, 4) AS confidence,
+   round_even(CASE WHEN (m1 BETWEEN 1 AND 12 AND d1 BETWEEN 1 AND 31) OR m2 BETWEEN 1 AND 12 THEN c * 0.8::DOUBLE ELSE c * 0.85::DOUBLE END, 4) AS confidence,
    text AS raw_text FROM {name}_parts),
 {name}_dated AS (SELECT * FROM {name}_any WHERE month IS NOT NULL AND year IS NOT NULL),
 {name} AS ({panel_choice(name + '_dated', first)})"""
@@ -237,7 +237,7 @@ c_panels AS (SELECT scan_id, panel, arg_max(text, (confidence, -line_no)) FILTER
   FROM (SELECT *, regexp_matches(text, '{fixed.CAUTION_PATTERN}') AND confidence > 0 AS hit FROM v_label_lines)
   GROUP BY scan_id, panel),
 c_any AS (SELECT scan_id, panel, raw_text IS NOT NULL AS present, coalesce(trim(raw_text), '') AS text,
-   coalesce(round(conf, 4), 0.95::DOUBLE) AS confidence, coalesce(raw_text, '') AS raw_text FROM c_panels),
+   coalesce(round_even(conf, 4), 0.95::DOUBLE) AS confidence, coalesce(raw_text, '') AS raw_text FROM c_panels),
 caution AS ({panel_choice('c_any', 'back')})"""
 
 _MADE, _EXPIRES = date_sql("made", fixed.MFD_WORDS), date_sql("expires", fixed.EXP_WORDS)
