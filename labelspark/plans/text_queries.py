@@ -8,7 +8,7 @@ from labelspark import fixed
 from labelspark.functions import fusion as FU
 from labelspark.functions import geometry as G
 from labelspark.functions.fields import catalog_quantity
-from labelspark.functions.text import clamp_confidence
+from labelspark.functions.text import clamp_confidence, rounded
 from labelspark.operators import ensemble as E
 from labelspark.operators import extraction as X
 from labelspark.operators import lines as L
@@ -120,7 +120,7 @@ def _pair_predicates(spark, sf_dir):
     )
     firsts = other.groupBy("scan_id").agg(F.min_by(F.struct("t2", "b2", "c2"), "line_no").alias("o"))
     return lines.join(firsts, "scan_id").select(
-        "scan_id", "line_no", F.round(G.iou(F.col("bbox"), F.col("o.b2")), 6).alias("iou"),
+        "scan_id", "line_no", rounded(G.iou(F.col("bbox"), F.col("o.b2")), 6).alias("iou"),
         E.texts_agree(F.col("text"), F.col("o.t2")).alias("same_text"),
         E.boxes_agree(F.col("bbox"), F.col("o.b2")).alias("same_box"),
         E.confidence_similar(F.col("confidence"), F.col("o.c2")).alias("similar"),
@@ -241,7 +241,7 @@ ORACLE = {
               round_even(greatest(coalesce(TRY_CAST(conf AS DOUBLE), 0.0::DOUBLE), 0.0::DOUBLE) / 100, 3) AS c FROM v_tokens)
             SELECT image_id, line_num, string_agg(word, ' ' ORDER BY "left", pos) AS text, min("left") AS x, min(top) AS y,
              max("left" + width) - min("left") AS w, max(top + height) - min(top) AS h,
-             round_even(CAST(sum(CAST(round_even(c * 1000) AS BIGINT)) AS DOUBLE) / count(*) / 1000, 3) AS confidence
+             round_even(CAST(sum(CAST(round(c * 1000) AS BIGINT)) AS DOUBLE) / count(*) / 1000, 3) AS confidence
             FROM t WHERE word <> '' GROUP BY ALL""",
     ),
     "clean_lines": (
