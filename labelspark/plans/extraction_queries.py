@@ -247,7 +247,41 @@ _BOTH_DATES = (
     " LEFT JOIN expires e ON e.scan_id = s.scan_id"
 )
 
+_READING = ", ".join(
+    f"{{'nutrient': '{name}', 'value': TRY_CAST(nullif(regexp_extract(text, '{pattern}', 1), '') AS DOUBLE),"
+    f" 'unit': coalesce(nullif(regexp_extract(text, '{pattern}', 2), ''), '{fields.default_unit(name)}'),"
+    f" 'matches': regexp_matches(text, '{pattern}'), 'named': contains(lower(text), '{name}'), 'usual': '{fields.default_unit(name)}'}}"
+    for name, pattern in fixed.NUTRIENT_PATTERNS
+)
+_SEEN = "list_contains(list_transform(a, lambda f: f.nutrient), {0})"
+_HITS = (
+    f"list_filter(x.readings, lambda r: r.matches AND NOT {_SEEN.format('r.nutrient')}"
+    f" AND NOT (r.nutrient = 'fibre' AND {_SEEN.format(chr(39) + 'fiber' + chr(39))})"
+    f" AND NOT (r.nutrient = 'fiber' AND {_SEEN.format(chr(39) + 'fibre' + chr(39))}))"
+)
+_NAMES = f"list_filter(x.readings, lambda r: r.named AND NOT {_SEEN.format('r.nutrient')})"
+_FACT = "STRUCT(nutrient VARCHAR, value DOUBLE, unit VARCHAR, confidence DOUBLE, raw_text VARCHAR)"
+NUTRITION_SQL = f"""
+n_pos AS (SELECT *, row_number() OVER {_W} AS pos FROM v_label_lines),
+n_head AS (SELECT scan_id, min(pos) AS at FROM n_pos WHERE contains(lower(text), 'nutri') GROUP BY scan_id),
+n_near AS (SELECT h.scan_id, o.pos, o.text, o.confidence FROM n_head h JOIN n_pos o ON o.scan_id = h.scan_id AND o.pos > h.at AND o.pos <= h.at + 20),
+n_stop AS (SELECT scan_id, min(pos) AS stop FROM n_near WHERE {_words(fixed.NUTRITION_STOP_WORDS)} GROUP BY scan_id),
+n_list AS (SELECT n.scan_id, list({{'text': text, 'confidence': confidence, 'readings': [{_READING}]}} ORDER BY pos) AS xs
+  FROM n_near n LEFT JOIN n_stop s ON s.scan_id = n.scan_id WHERE stop IS NULL OR pos < stop GROUP BY n.scan_id),
+n_facts AS (SELECT scan_id, list_reduce(xs, lambda a, x: CASE
+   WHEN len({_HITS}) > 0 THEN list_append(a, CAST({{'nutrient': {_HITS}[1].nutrient, 'value': {_HITS}[1].value, 'unit': {_HITS}[1].unit,
+     'confidence': round_even(x.confidence, 4), 'raw_text': x.text}} AS {_FACT}))
+   WHEN len({_NAMES}) > 0 THEN list_append(a, CAST({{'nutrient': {_NAMES}[1].nutrient, 'value': NULL, 'unit': {_NAMES}[1].usual,
+     'confidence': 0.0, 'raw_text': x.text}} AS {_FACT}))
+   ELSE a END, CAST([] AS {_FACT}[])) AS facts FROM n_list),
+nutrition AS (SELECT h.scan_id, coalesce(facts, []) AS facts FROM n_head h LEFT JOIN n_facts f ON f.scan_id = h.scan_id)"""
+
 ORACLE = {
+    "extract_nutrition": with_views(
+        "label_lines",
+        f"""WITH {NUTRITION_SQL}, u AS (SELECT scan_id, unnest(facts) AS f, unnest(range(len(facts))) AS pos FROM nutrition)
+            SELECT scan_id, pos, f.nutrient, f.value, f.unit, f.confidence, f.raw_text FROM u""",
+    ),
     "best_match": with_views(
         "label_lines",
         f"""WITH t AS (SELECT *, {_words(fixed.NET_QTY_WORDS)} AS worded, length(regexp_extract(text, '{_NU}', 0)) AS n

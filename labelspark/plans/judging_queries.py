@@ -13,7 +13,7 @@ from labelspark.operators import ensemble as E
 from labelspark.operators import extraction as X
 from labelspark.operators import rules as R
 from labelspark.plans.extraction_queries import (
-    CAUTION_SQL, MAKER_SQL, PRICE_SQL, QUANTITY_SQL, _EXPIRES, _MADE,
+    CAUTION_SQL, MAKER_SQL, NUTRITION_SQL, PRICE_SQL, QUANTITY_SQL, _EXPIRES, _MADE,
 )
 from labelspark.plans.judging import LabelInputs, declare, judge
 from labelspark.plans.text_queries import ENSEMBLE_SQL
@@ -354,7 +354,51 @@ decl AS ({_fused_sql('mrp', 'price', 'f.amount', 'p.mrp_amount', _near('f.amount
  UNION ALL SELECT scan_id, 'cautions', 'SATISFIED', NULL, confidence, panel, raw_text,
   CASE WHEN present THEN 'Present: ' || text ELSE 'Not present' END, true FROM caution)"""
 
+_ALL_DECLARED_SQL = f"""{_DECLARED_SQL}, {NUTRITION_SQL}, {_IMAGES_SQL},
+all_decl AS (SELECT scan_id, field_name, verdict, confidence, present, raw_text,
+   field_name = 'net_quantity' AND present AND split_part(display, ' ', 2) NOT IN ('g', 'kg', 'ml', 'l') AS problem FROM decl
+  UNION ALL SELECT s.scan_id, 'nutrition_facts',
+   CASE WHEN len(list_filter(facts, lambda f: f.value IS NOT NULL)) > 0 THEN 'SATISFIED' ELSE 'NOT_VERIFIED' END,
+   CASE WHEN len(facts) > 0 THEN list_reduce(list_transform(facts, lambda f: f.confidence), lambda a, b: a + b, 0.0::DOUBLE) / len(facts) ELSE 0.0::DOUBLE END,
+   coalesce(len(facts) > 0, false), '', coalesce(len(list_filter(facts, lambda f: f.value IS NOT NULL)) = 0, false)
+  FROM sids s LEFT JOIN nutrition n ON n.scan_id = s.scan_id)"""
+_VERDICT_VIEWS = "label_lines scans rule_sets images " + _SYM
+_VERDICT_SQL = f"""{_ALL_DECLARED_SQL}, {_RULESET_SQL}, {_judge_sql('all_decl')},
+final AS (SELECT d.scan_id, d.field_name, coalesce(o.verdict, d.verdict) AS verdict,
+   CASE WHEN o.scan_id IS NULL THEN d.confidence ELSE coalesce(o.confidence, 0.0::DOUBLE) END AS confidence, o.rule_id
+  FROM all_decl d LEFT JOIN outcome o ON o.scan_id = d.scan_id AND o.field_name = d.field_name WHERE d.scan_id IN (SELECT scan_id FROM v_scans))"""
+_ENSEMBLE_FIELDS = "('mrp', 'net_quantity', 'manufacturer')"
+_EVIDENCE_SQL = f"""{_ALL_DECLARED_SQL},
+inconf AS (SELECT scan_id, field_name FROM ensemble WHERE status = 'conflict' AND field_name IN {_ENSEMBLE_FIELDS}),
+ev AS (SELECT d.scan_id, d.field_name, 'OCR' AS source_type, 'ocr_single_pass' AS preprocessing_variant FROM all_decl d
+   LEFT JOIN inconf i ON i.scan_id = d.scan_id AND i.field_name = d.field_name WHERE raw_text <> '' AND i.scan_id IS NULL
+  UNION ALL SELECT d.scan_id, d.field_name, 'PRODUCT_DATABASE', 'provider_lookup' FROM all_decl d JOIN res p ON p.scan_id = d.scan_id
+   LEFT JOIN inconf i ON i.scan_id = d.scan_id AND i.field_name = d.field_name WHERE i.scan_id IS NULL AND
+   CASE d.field_name WHEN 'mrp' THEN p.mrp_amount IS NOT NULL WHEN 'net_quantity' THEN p.quantity_value IS NOT NULL
+    WHEN 'manufacturer' THEN p.manufacturer IS NOT NULL ELSE false END
+  UNION ALL SELECT c.scan_id, c.field_name, 'OCR', 'single_pass' FROM cand c JOIN inconf i ON i.scan_id = c.scan_id AND i.field_name = c.field_name
+  UNION ALL SELECT scan_id, unnest(['manufacture_date', 'expiry_date']), 'OCR', 'date_cross_check' FROM clash WHERE clash
+  UNION ALL SELECT scan_id, 'nutrition_facts', 'OCR', 'ocr_single_pass' FROM (SELECT scan_id, unnest(facts) AS f FROM nutrition))"""
+
 ORACLE = {
+    "scan_verdicts": with_views(_VERDICT_VIEWS, f"WITH {_VERDICT_SQL} SELECT * FROM final"),
+    "scan_status_counts": with_views(
+        _VERDICT_VIEWS,
+        f"""WITH {_VERDICT_SQL}, w AS (SELECT scan_id, {_WORST} AS overall_status FROM outcome WHERE scan_id IN (SELECT scan_id FROM sids) GROUP BY scan_id)
+            SELECT overall_status, count(*) AS scans FROM w GROUP BY ALL""",
+    ),
+    "compliance_results": with_views(
+        _VERDICT_VIEWS,
+        f"""WITH {_VERDICT_SQL} SELECT field_name, rule_id, verdict AS status, count(*) AS n,
+             count(*) FILTER (WHERE field_name = 'nutrition_facts' AND len(facts) > 0) AS with_nutrients
+            FROM final f LEFT JOIN nutrition n ON n.scan_id = f.scan_id WHERE rule_id IS NOT NULL GROUP BY ALL""",
+    ),
+    "scan_evidence": with_views(
+        "label_lines images " + _SYM,
+        f"""WITH {_EVIDENCE_SQL} SELECT field_name, source_type, preprocessing_variant, count(*) AS n,
+             count(*) FILTER (WHERE preprocessing_variant = 'date_cross_check' OR scan_id NOT IN (SELECT scan_id FROM pimg)) AS without_image
+            FROM ev GROUP BY ALL""",
+    ),
     "dedupe_symbols": with_views(_SYM, f"WITH {_SYMBOLS_SQL} SELECT scan_id, data, format, source_image FROM ded"),
     "symbol_mismatch": with_views(
         _SYM,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from labelspark.plans import extraction_queries, judging_queries, table_queries, text_queries
+from labelspark.plans import (
+    extraction_queries, judging_queries, stream_queries, table_queries, text_queries,
+)
 
-MODULES = [extraction_queries, text_queries, judging_queries, table_queries]
+MODULES = [extraction_queries, text_queries, judging_queries, table_queries, stream_queries]
 
 
 def queries():
