@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from labelspark import fixed
 from labelspark.functions.geometry import iou
-from labelspark.functions.text import comparison_key, strip
+from labelspark.functions.text import comparison_key, holds_any, strip
 
 _KEY = ["scan_id", "field_name"]
 _CANDIDATE = ["text_key", "x", "y", "w", "h", "confidence"]
@@ -20,20 +20,22 @@ _CANDIDATE = ["text_key", "x", "y", "w", "h", "confidence"]
 
 def field_candidates(lines: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """One row per (line, field) whose field pattern matches; blank lines give none."""
-    text = strip(F.col("text"))
+    text = F.col("text")
+    base = ["scan_id", "panel", "line_no", "text", "confidence", "bbox", "source_provider", "preprocessing_variant"]
+
+    def found(name: str, pattern: str) -> Column:
+        words = fixed.CANDIDATE_WORDS.get(name)
+        return holds_any(F.col("lowered"), words) & text.rlike(pattern) if words else text.rlike(pattern)
+
     names = [
-        F.when(text.rlike(pattern), F.struct(F.lit(name).alias("field_name"), F.lit(hint).alias("context_hint")))
+        F.when(found(name, pattern), F.struct(F.lit(name).alias("field_name"), F.lit(hint).alias("context_hint")))
         for name, pattern, hint in fixed.CANDIDATE_PATTERNS
         if fields is None or name in fields
     ]
     return (
-        lines.select(
-            "scan_id", "panel", "line_no", text.alias("text"), "confidence", "bbox",
-            "source_provider", "preprocessing_variant",
-            F.explode(F.array_compact(F.array(*names))).alias("f"),
-        )
-        .select("*", "f.*")
-        .drop("f")
+        lines.withColumn("text", strip(text))
+        .select(*base, F.lower("text").alias("lowered"))
+        .select(*base, F.inline(F.array_compact(F.array(*names))))
     )
 
 
@@ -63,6 +65,9 @@ def _counted(candidates: DataFrame) -> DataFrame:
         )
         .groupBy(*_KEY, *_CANDIDATE)
         .agg(F.count("*").alias("n"), F.min("first").alias("first"))
+        # Always true. It makes every use below need the same columns, so that Spark computes the
+        # shuffle of this aggregate once and reuses it.
+        .filter("first is not null AND n > 0")
     )
 
 

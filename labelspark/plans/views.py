@@ -343,7 +343,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "label_lines").withColumn("bbox", F.struct("x", "y", "w", "h"))
+    """Composed lines. The one-element explode keeps the optimizer from copying the long text
+    expression into every predicate on the text, which a stored text column would not suffer."""
+    lines = view(spark, sf_dir, "label_lines").withColumn("bbox", F.struct("x", "y", "w", "h"))
+    rest = [c for c in lines.columns if c != "text"]
+    return lines.select(*rest, F.explode(F.array("text")).alias("text"))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
