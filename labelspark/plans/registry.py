@@ -18,4 +18,5 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    return queries()["extract_mrp"](spark, sf_dir)
+    """Verdicts of every declaration of every scan: the whole job."""
+    return queries()["scan_verdicts"](spark, sf_dir)
