@@ -18,9 +18,10 @@ def typed_value(**members: Column) -> Column:
         "name": "string", "day": "int", "month": "int", "year": "int", "present": "boolean",
         "text": "string", "font_height_px": "double", "nutrients": nutrients,
     }
-    return F.struct(
-        *[members.get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items()]
-    ).cast(VALUE)
+    none = F.expr("named_struct(" + ", ".join(f"'{n}', CAST(NULL AS {t})" for n, t in types.items()) + ")")
+    for name, column in members.items():
+        none = none.withField(name, column.cast(types[name]))
+    return none.cast(VALUE)
 
 
 def base_quantity(value: Column, unit: Column) -> Column:

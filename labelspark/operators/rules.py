@@ -120,6 +120,34 @@ def apply_results(declarations: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def judge_declarations(scans: DataFrame, rules: DataFrame) -> DataFrame:
+    """Declarations of scans with the verdict of the last rule for their field, in one pass.
+
+    Same outcome as `apply_results` after `evaluate`, but each declaration meets its rule on its own
+    row, so the scans are neither computed twice nor shuffled again.
+    """
+    last = rules.groupBy("rule_set_id", F.col("required_declaration").alias("field_name")).agg(
+        F.max(F.struct("rule_ord", "rule_id", "applicability", "conditions")).alias("rule")
+    )
+    rows = scans.select("scan_id", "rule_set_id", "category", F.explode("declared").alias("declaration")).withColumn(
+        "field_name", F.col("declaration.field_name")
+    )
+    outcome = evaluate_declaration(
+        F.col("declaration"), F.col("rule.applicability"), F.col("rule.conditions"), F.col("category"), False
+    )
+    placed = rows.join(last, ["rule_set_id", "field_name"], "left").withColumn(
+        "outcome", F.when(F.col("rule").isNotNull(), outcome)
+    )
+    judged, d = F.col("rule").isNotNull(), F.col("declaration")
+    return placed.select(
+        "scan_id", "field_name", d["value"].alias("value"), d["panel"].alias("panel"), d["raw_text"].alias("raw_text"),
+        F.when(judged, F.col("outcome.verdict")).otherwise(d["verdict"]).alias("verdict"),
+        F.when(judged, F.col("outcome.reason")).otherwise(d["reason"]).alias("reason"),
+        F.when(judged, F.coalesce("outcome.confidence", F.lit(0.0))).otherwise(d["confidence"]).alias("confidence"),
+        F.col("rule.rule_id").alias("rule_id"),
+    )
+
+
 def compliance_results(judged: DataFrame, nutrition: DataFrame) -> DataFrame:
     """One row per judged declaration; the nutrition row also lists its nutrients."""
     nutrients = F.transform(

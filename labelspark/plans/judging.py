@@ -40,6 +40,12 @@ def declare(inputs: LabelInputs) -> DataFrame:
     )
 
 
+def judged_declarations(inputs: LabelInputs) -> DataFrame:
+    """One row per declaration with its final verdict."""
+    dated = R.select_rulesets(inputs.scans, inputs.rule_sets)
+    return R.judge_declarations(declare(inputs).join(dated, "scan_id"), inputs.rules)
+
+
 def judge(inputs: LabelInputs) -> tuple[DataFrame, DataFrame]:
     """(declared rows per scan with their rule set, rule results)."""
     dated = R.select_rulesets(inputs.scans, inputs.rule_sets)

@@ -15,7 +15,7 @@ from labelspark.operators import rules as R
 from labelspark.plans.extraction_queries import (
     CAUTION_SQL, MAKER_SQL, NUTRITION_SQL, PRICE_SQL, QUANTITY_SQL, _EXPIRES, _MADE,
 )
-from labelspark.plans.judging import LabelInputs, declare, judge
+from labelspark.plans.judging import LabelInputs, declare, judge, judged_declarations
 from labelspark.plans.text_queries import ENSEMBLE_SQL
 from labelspark.plans.views import label_lines, table, view, with_views
 from labelspark.functions.fields import catalog_quantity
@@ -185,8 +185,7 @@ def _evidence(spark, sf_dir):
 
 
 def _scan_verdicts(spark, sf_dir):
-    declared, results = judge(inputs(spark, sf_dir))
-    return R.apply_results(D.declaration_rows(declared), results).select(
+    return judged_declarations(inputs(spark, sf_dir)).select(
         "scan_id", "field_name", "verdict", "confidence", "rule_id"
     )
 
@@ -198,9 +197,7 @@ def _status_counts(spark, sf_dir):
 
 def _compliance(spark, sf_dir):
     data = inputs(spark, sf_dir)
-    declared, results = judge(data)
-    judged = R.apply_results(D.declaration_rows(declared), results)
-    return R.compliance_results(judged, X.nutrition_facts(data.lines)).groupBy("field_name", "rule_id", "status").agg(
+    return R.compliance_results(judged_declarations(data), X.nutrition_facts(data.lines)).groupBy("field_name", "rule_id", "status").agg(
         F.count("*").alias("n"), F.count_if(F.col("details").contains("per_nutrient")).alias("with_nutrients")
     )
 
