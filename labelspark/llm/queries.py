@@ -1,5 +1,7 @@
 """Registered queries of the training-data operators."""
-from labelspark.llm import decontamination, exact_dedup, mixing
+from pyspark.sql import functions as F
+
+from labelspark.llm import decontamination, exact_dedup, mixing, substring_dedup, suffix_dedup
 
 
 def _table(spark, sf_dir, name):
@@ -14,8 +16,24 @@ def op5_decontamination(spark, sf_dir):
     return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def _removed():
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_removed")
+
+
+def op6_suffix_dedup(spark, sf_dir):
+    rows = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_bytes", _removed(), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op10_substring_dedup(spark, sf_dir):
+    rows = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", _removed(), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_source_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_decontamination, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_decontamination, op6_suffix_dedup, op9_source_mixing, op10_substring_dedup)}
