@@ -1,13 +1,17 @@
 """Registered queries of the training-data operators."""
 from pyspark.sql import functions as F
 
-from labelspark.llm import decontamination, exact_dedup, mixing, substring_dedup, suffix_dedup
+from labelspark.llm import decontamination, exact_dedup, mixing, ngram_join, substring_dedup, suffix_dedup
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -36,4 +40,4 @@ def op9_source_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_decontamination, op6_suffix_dedup, op9_source_mixing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_exact_dedup, op5_decontamination, op6_suffix_dedup, op9_source_mixing, op10_substring_dedup)}
