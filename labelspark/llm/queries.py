@@ -112,28 +112,28 @@ _EVENTS = """
 hosts AS (SELECT lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, min(page_id) AS m FROM pages GROUP BY 1),
 named AS (SELECT host, m, array_to_string(list_reverse(list_reverse(string_split(host, '.'))[1:3]), '.') AS domain FROM hosts WHERE host <> ''),
 events AS (
-  SELECT 'block' AS list, 'host' AS kind, host AS pattern, false AS removed, DATE '2024-01-01' + (m * 31 % 600)::INT AS at FROM named WHERE m % 3 = 0
+  SELECT 'block' AS list, 'host' AS kind, host AS pattern, false AS removed, DATE '2024-01-01' + (m * 31 % 600)::INT AS d FROM named WHERE m % 3 = 0
   UNION ALL SELECT 'block', 'host', host, true, DATE '2024-01-01' + (m * 31 % 600 + 90)::INT FROM named WHERE m % 3 = 0
   UNION ALL SELECT 'block', 'host', host, false, DATE '2024-01-01' + (m * 31 % 600 + 200)::INT FROM named WHERE m % 3 = 0
   UNION ALL SELECT 'allow', 'prefix', host || '/en', false, DATE '2024-01-01' + (m * 17 % 600)::INT FROM named WHERE m % 2 = 0
   UNION ALL SELECT 'block', 'domain', domain, false, DATE '2024-01-01' + (m * 13 % 700)::INT FROM named WHERE m % 5 = 1
   UNION ALL SELECT 'block', 'domain', domain, true, DATE '2024-01-01' + (m * 13 % 700 + 60)::INT FROM named WHERE m % 5 = 1
   UNION ALL SELECT 'watch', 'host', host, false, DATE '2024-01-01' + (m * 11 % 500)::INT FROM named WHERE m % 4 < 3),
-one AS (SELECT list, kind, pattern, at, bool_or(removed) AS removed FROM events GROUP BY ALL),
-spans AS (SELECT *, lead(at) OVER (PARTITION BY list, kind, pattern ORDER BY at) AS until FROM one),
+one AS (SELECT list, kind, pattern, d, bool_or(removed) AS removed FROM events GROUP BY ALL),
+spans AS (SELECT *, lead(d) OVER (PARTITION BY list, kind, pattern ORDER BY d) AS until FROM one),
 caps AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days((page_id * 7919 % 730)::INT) + to_hours((page_id % 24)::INT) AS t,
     lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
     list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)?', 1), '/'), x -> x <> '') AS steps
   FROM pages),
 hits AS (
-  SELECT DISTINCT c.page_id, c.url, c.t, s.list, s.kind, s.pattern, s.at
-  FROM caps c JOIN spans s ON NOT s.removed AND s.at <= c.t AND (s.until IS NULL OR c.t < s.until) AND c.host <> '' AND CASE s.kind
+  SELECT DISTINCT c.page_id, c.url, c.t, s.list, s.kind, s.pattern, s.d
+  FROM caps c JOIN spans s ON NOT s.removed AND s.d <= c.t AND (s.until IS NULL OR c.t < s.until) AND c.host <> '' AND CASE s.kind
     WHEN 'host' THEN s.pattern = c.host
     WHEN 'domain' THEN s.pattern = c.host OR (s.pattern LIKE '%.%' AND ends_with(c.host, '.' || s.pattern))
     ELSE list_contains(list_transform(range(0, len(c.steps) + 1), i -> c.host || '/' || array_to_string(c.steps[1:i], '/')), s.pattern) END),
 lists AS (
-  SELECT page_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists, min(at) AS first,
+  SELECT page_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists, min(d) AS first,
     bool_or(list = 'block') AND NOT bool_or(list = 'allow') AS blocked FROM hits GROUP BY 1)
 """
 
