@@ -126,7 +126,8 @@ def seeds(hashes: Hashes, bounds: np.ndarray, window: int, k: int) -> tuple[np.n
     head[1:] = chosen[1:] != chosen[:-1]
     heads = np.flatnonzero(head)
     tails = np.append(heads[1:], len(chosen)) - 1
-    return chosen[heads], grams[chosen[heads]], starts[heads], starts[tails]
+    # Chosen hashes are small; mixed again they spread evenly.
+    return chosen[heads], mix(grams[chosen[heads]] + _U(1)), starts[heads], starts[tails]
 
 
 def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:

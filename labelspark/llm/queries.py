@@ -124,14 +124,14 @@ spans AS (SELECT *, lead(d) OVER (PARTITION BY list, kind, pattern ORDER BY d) A
 caps AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days((page_id * 7919 % 730)::INT) + to_hours((page_id % 24)::INT) AS t,
     lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
-    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)?', 1), '/'), x -> x <> '') AS steps
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)?', 1), '/'), lambda x: x <> '') AS steps
   FROM pages),
 hits AS (
   SELECT DISTINCT c.page_id, c.url, c.t, s.list, s.kind, s.pattern, s.d
   FROM caps c JOIN spans s ON NOT s.removed AND s.d <= c.t AND (s.until IS NULL OR c.t < s.until) AND c.host <> '' AND CASE s.kind
     WHEN 'host' THEN s.pattern = c.host
     WHEN 'domain' THEN s.pattern = c.host OR (s.pattern LIKE '%.%' AND ends_with(c.host, '.' || s.pattern))
-    ELSE list_contains(list_transform(range(0, len(c.steps) + 1), i -> c.host || '/' || array_to_string(c.steps[1:i], '/')), s.pattern) END),
+    ELSE list_contains(list_transform(range(0, len(c.steps) + 1), lambda i: c.host || '/' || array_to_string(c.steps[1:i], '/')), s.pattern) END),
 lists AS (
   SELECT page_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists, min(d) AS first,
     bool_or(list = 'block') AND NOT bool_or(list = 'allow') AS blocked FROM hits GROUP BY 1)

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from labelspark.llm import arrays
 from labelspark.llm.common import no_null_text, partitions
 
-DOCS_PER_GROUP = 512
-CHUNK_BYTES = 1 << 21  # texts are worked on in pieces of about this size
+DOCS_PER_GROUP = 256
+CHUNK_BYTES = 1 << 19  # texts are worked on in pieces of about this size
 NO_ID = np.iinfo(np.int64).max  # a null id is larger than any other
 
 _SEEDS = "bucket int, g int, hashes binary, many binary"
@@ -225,7 +225,7 @@ def remove_repeats(docs: DataFrame, kind: Units, finish: Callable, schema: str,
     """Rows of finish(text bytes, removed spans in units) for every document, after its doc_id."""
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)
-    groups = max(2 * partitions(spark), docs.count() // DOCS_PER_GROUP + 1)
+    groups = docs.count() // DOCS_PER_GROUP + 1
     dealt = docs.select(
         F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(groups)).cast("int").alias("g"), F.col(id_col).cast("long").alias("doc_id"),
         no_null_text(text_col).alias("text"),
