@@ -147,7 +147,7 @@ def _send_stretches(kind: Units, buckets: int):
         bucket = _bucket(np.array([x[0] for x in kept], np.uint64), buckets)
         for b, s in _cuts(bucket):
             part = kept[s]
-            out.append((b, g, 0, *_packed(part), bytes(x[4] for x in part), b"".join(x[5] for x in part)))
+            out.append((b, g, 0, *_packed(part), bytes(x[4] for x in part), _deflated(b"".join(x[5] for x in part))))
         if local:
             full = np.array([(1 << x[4]) - 1 for x in local], np.uint64)
             out.append((g % buckets, g, 1, *_packed(local), b"", full.tobytes()))
@@ -156,6 +156,14 @@ def _send_stretches(kind: Units, buckets: int):
     return run
 
 
+def _deflated(content: bytes) -> bytes:
+    return len(content).to_bytes(8, "little") + pa.compress(content, codec="zstd", asbytes=True)
+
+
+def _inflated(content: bytes) -> bytes:
+    return pa.decompress(content[8:], decompressed_size=int.from_bytes(content[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _packed(part) -> tuple[bytes, bytes, bytes]:
     return (
         np.array([x[1] for x in part], np.int64).tobytes(), np.array([x[2] for x in part], np.int32).tobytes(),
@@ -171,7 +179,7 @@ def _answer(kind: Units):
         if rows:
             ids = np.frombuffer(b"".join(x["ids"] for x in rows), np.int64)
             counts = np.frombuffer(b"".join(x["counts"] for x in rows), np.uint8).astype(np.int64)
-            bits = kind.compare(ids, counts, b"".join(x["content"] for x in rows), kind.window)
+            bits = kind.compare(ids, counts, b"".join(_inflated(x["content"]) for x in rows), kind.window)
             at = 0
             for x in rows:
                 own = bits[at : (at := at + len(x["counts"]))]
