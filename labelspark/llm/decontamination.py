@@ -130,4 +130,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` without the documents that contain a benchmark item; columns as they were."""
     found = staged(find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(found, docs[id_col] == found["_leak"], "left_anti")
+    return docs.join(found.hint("merge"), docs[id_col] == found["_leak"], "left_anti")

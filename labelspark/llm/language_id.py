@@ -277,4 +277,4 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     under one id with an accepted one goes with all rows of that id only if every one is rejected."""
     found = identify(docs, id_col, text_col, lang_col)
     known = staged(found.filter("accepted").select(F.col("doc_id").alias("_known")).distinct(), "known")
-    return docs.join(known, docs[id_col].eqNullSafe(known["_known"]), "left_semi")
+    return docs.join(known.hint("merge"), docs[id_col].eqNullSafe(known["_known"]), "left_semi")

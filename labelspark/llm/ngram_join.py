@@ -204,7 +204,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     )
     placed = staged(placed, "placed")
-    members = placed.join(known.withColumnRenamed("doc_id", "node"), "node")
+    # Merged at every size: the texts are shuffled once, whether the candidates are few or many.
+    members = placed.hint("merge").join(known.withColumnRenamed("doc_id", "node"), "node")
     # Small components share a task; a large one has a task for each pair of its blocks.
     small = members.filter("blocks = 1").select(
         F.pmod(F.xxhash64("comp"), F.lit(tasks)).alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), "comp", "part", "node", "mult", "text"
@@ -230,4 +231,4 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with one document of each group, the one with the smallest id; rows without id stay."""
     others = staged(ngram_join(docs, id_col, text_col, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("_other")).distinct(), "others")
-    return docs.join(others, docs[id_col] == others["_other"], "left_anti")
+    return docs.join(others.hint("merge"), docs[id_col] == others["_other"], "left_anti")
