@@ -17,7 +17,7 @@ from labelspark.llm import arrays
 from labelspark.llm.common import no_null_text, staged
 
 ORDER = 5  # characters of a gram: the predicted one and four before it
-MAX_GRAMS = 100_000  # most frequent grams kept per language: the bound of what is sent to every task
+MAX_GRAMS = 40_000  # most frequent grams kept per language: the bound of what is sent to every task
 CALIBRATION_ROWS = 4_000  # about so many labelled documents set the rejection limits
 SPREAD = 6.0  # deviations above the mean cross-entropy at which a document is rejected
 LEAST_RATIO = 2.0  # and at least so many times the mean, so that mixed or noisy prose stays
