@@ -199,8 +199,9 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         votes: Counter[tuple[str, str]] = Counter()
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            for path, score in path_scores(blocks(page)).items():
-                votes[host, path] += round(score * 1000)
+            if scores := path_scores(blocks(page)):
+                path = max(scores, key=lambda p: (scores[p], p.count("/"), p))
+                votes[host, path] += round(scores[path] * 1000)
         rows = list(votes.items())
         yield pa.RecordBatch.from_pydict(
             {"host": [k[0] for k, _ in rows], "path": [k[1] for k, _ in rows], "votes": pa.array([v for _, v in rows], pa.int64())},
@@ -219,7 +220,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of `pages`: page_id, url, text, path (of the container used).
 
-    Every page votes with the scores of its container paths; votes are summed per host and path; the
+    Every page votes for its best container path, with its score; votes are summed per host and path; the
     host's paths, most votes first, are tried on each of its pages, so a page with an odd best
     container follows its siblings, and a page without any of them falls back on its own best. Blocks
     in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
