@@ -118,7 +118,7 @@ def test_html_consensus(spark):
     rows = [(i, "http://h.example/x", normal, "z") for i in range(5)] + [(9, "http://H.example:80/y", odd, "z"), (10, None, odd, "z"), (11, "u", None, "z"), (11, "u", None, "z")]
     got = html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()
     by = {r.page_id: r for r in got}
-    assert len(got) == 9 and by[9].text == "tiny" and by[10].text.startswith("filler") and by[11].text == ""
+    assert len(got) == 9 and by[9].text == "tiny" and by[10].text.startswith("tiny\n\nfiller") and by[11].text == ""
     assert html_extraction.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
