@@ -10,9 +10,11 @@ from labelspark import fixed
 
 def number_text(value: Column) -> Column:
     """Shortest plain digits with at least one decimal ("10000000.0", never "1.0E7")."""
-    plain = F.regexp_replace(value.cast("decimal(30,6)").cast("string"), r"(\.\d+?)0+$", "$1")
     size = F.abs(value)
-    return F.when((size >= 1e7) | ((size > 0) & (size < 1e-3)), plain).otherwise(value.cast("string"))
+    large, small = (value.try_cast(f"decimal(38,{scale})") for scale in (10, 30))
+    plain = F.when(size >= 1e7, large.cast("string")).when((size > 0) & (size < 1e-3) & (small != 0), small.cast("string"))
+    # Beyond 28 digits, or below 30 decimals, the exponent stays: nothing is lost and no job ends.
+    return F.coalesce(F.regexp_replace(plain, r"(\.\d+?)0+$", "$1"), value.cast("string"))
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:

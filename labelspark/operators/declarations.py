@@ -131,12 +131,24 @@ def ensemble_conflicts(statuses: DataFrame) -> DataFrame:
     )
 
 
+def _absent_caution() -> Column:
+    """The answer for a scan without lines: no caution word is itself an answer."""
+    value = F.struct(
+        F.lit(False).alias("present"), F.lit("").alias("text"), F.lit(fixed.ABSENT_CAUTION_CONFIDENCE).alias("confidence"),
+        F.lit("").alias("raw_text"),
+    )
+    return F.struct(value.alias("value"), F.lit("front").alias("panel"))
+
+
 def build_declarations(
-    extracted: DataFrame, nutrition: DataFrame, conflicts: DataFrame, resolved: DataFrame
+    scans: DataFrame, extracted: DataFrame, nutrition: DataFrame, conflicts: DataFrame, resolved: DataFrame
 ) -> DataFrame:
-    """One row per scan with its seven declarations in `declared`."""
+    """One row per row of `scans` with its seven declarations in `declared`; a scan without label lines
+    gets what its catalog says, an absent caution, and otherwise unverified fields."""
     joined = (
-        extracted.join(nutrition, "scan_id", "left")
+        scans.select("scan_id").join(extracted, "scan_id", "left")
+        .withColumn("cautions", F.coalesce("cautions", _absent_caution()))
+        .join(nutrition, "scan_id", "left")
         .join(conflicts, "scan_id", "left")
         .join(resolved, "scan_id", "left")
         .withColumn(

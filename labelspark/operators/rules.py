@@ -59,6 +59,12 @@ def select_rulesets(scans: DataFrame, rule_sets: DataFrame) -> DataFrame:
     return scans.join(matched, ["jurisdiction", "inspection_date"], "left")
 
 
+def without_ruleset(dated: DataFrame) -> DataFrame:
+    """Scans that no rule can judge: none or several rule sets hold on their day. `evaluate` has no rows
+    for them, so a job writes these to quarantine."""
+    return dated.filter("rule_set_id is null")
+
+
 def active_rules(rule_sets: DataFrame, rules: DataFrame, day, jurisdiction: str = "India") -> DataFrame:
     """Rules of the one set valid on a day (a date or a Column); no rows where none or several are."""
     at = F.lit(day) if not hasattr(day, "alias") else day

@@ -28,14 +28,14 @@ class LabelInputs:
 
 
 def declare(inputs: LabelInputs) -> DataFrame:
-    """One row per scan with its declarations before the rules."""
+    """One row per scan, with or without lines, with its declarations before the rules."""
     candidates = E.field_candidates(inputs.lines, D.FUSED)
     deduped = C.dedupe_symbols(inputs.symbols)
     answers = C.lookup(
         deduped.filter("format <> 'QRCODE'").select(F.col("data").alias("barcode")), inputs.cache, inputs.catalog
     )
     return D.build_declarations(
-        extract_fields(inputs.lines), nutrition_facts(inputs.lines),
+        inputs.scans, extract_fields(inputs.lines), nutrition_facts(inputs.lines),
         D.ensemble_conflicts(E.ensemble(candidates)), C.first_resolved(deduped, answers),
     )
 

@@ -123,6 +123,12 @@ def _select_rulesets(spark, sf_dir):
     )
 
 
+def _quarantine(spark, sf_dir):
+    return R.without_ruleset(R.select_rulesets(_scans(spark, sf_dir), view(spark, sf_dir, "rule_sets"))).select(
+        "scan_id", "category", "rule_set_error"
+    )
+
+
 def _active_rules(spark, sf_dir):
     """Rules in force on the day of the latest order before 1998."""
     day = view(spark, sf_dir, "scans").filter("created_at < '1998-01-01'").agg(F.max(F.to_date("created_at")).alias("d"))
@@ -214,6 +220,7 @@ QUERIES = {
     "extract_company_html": _company_pages,
     "scale_per_panel": _scale,
     "select_ruleset": _select_rulesets,
+    "ruleset_quarantine": _quarantine,
     "active_rules": _active_rules,
     "rule_results": _rule_results,
     "rule_reasons": _reason_counts,
@@ -339,7 +346,7 @@ def _date_declared(field: str, found: str) -> str:
 
 _DECLARED_SQL = f"""
 {PRICE_SQL}, {QUANTITY_SQL}, {MAKER_SQL}, {_MADE}, {_EXPIRES}, {CAUTION_SQL}, {ENSEMBLE_SQL}, {_SYMBOLS_SQL},
-sids AS (SELECT DISTINCT scan_id FROM v_label_lines),
+sids AS (SELECT scan_id FROM v_scans),
 clash AS (SELECT s.scan_id, coalesce(e.year < m.year OR (e.year = m.year AND (e.month < m.month OR (e.month = m.month AND e.day <= m.day))), false) AS clash
   FROM sids s LEFT JOIN made m ON m.scan_id = s.scan_id LEFT JOIN expires e ON e.scan_id = s.scan_id),
 decl AS ({_fused_sql('mrp', 'price', 'f.amount', 'p.mrp_amount', _near('f.amount', 'p.mrp_amount'), _money('f.amount', 'f.currency'), _money('p.mrp_amount', "'INR'"))}
@@ -348,8 +355,8 @@ decl AS ({_fused_sql('mrp', 'price', 'f.amount', 'p.mrp_amount', _near('f.amount
    "CAST(f.value AS VARCHAR) || ' ' || f.unit", "CAST(p.quantity_value AS VARCHAR) || ' ' || p.quantity_unit")}
  UNION ALL {_fused_sql('manufacturer', 'maker', 'f.name', 'p.manufacturer', 'lower(trim(f.name)) = lower(trim(p.manufacturer))', 'f.name', 'p.manufacturer')}
  UNION ALL {_date_declared('manufacture_date', 'made')} UNION ALL {_date_declared('expiry_date', 'expires')}
- UNION ALL SELECT scan_id, 'cautions', 'SATISFIED', NULL, confidence, panel, raw_text,
-  CASE WHEN present THEN 'Present: ' || text ELSE 'Not present' END, true FROM caution)"""
+ UNION ALL SELECT s.scan_id, 'cautions', 'SATISFIED', NULL, coalesce(c.confidence, 0.95::DOUBLE), coalesce(c.panel, 'front'), coalesce(c.raw_text, ''),
+  CASE WHEN c.present THEN 'Present: ' || c.text ELSE 'Not present' END, true FROM sids s LEFT JOIN caution c ON c.scan_id = s.scan_id)"""
 
 _ALL_DECLARED_SQL = f"""{_DECLARED_SQL}, {NUTRITION_SQL}, {_IMAGES_SQL},
 all_decl AS (SELECT scan_id, field_name, verdict, confidence, present, raw_text,
@@ -391,7 +398,7 @@ ORACLE = {
             FROM final f LEFT JOIN nutrition n ON n.scan_id = f.scan_id WHERE rule_id IS NOT NULL GROUP BY ALL""",
     ),
     "scan_evidence": with_views(
-        "label_lines images " + _SYM,
+        "label_lines scans images " + _SYM,
         f"""WITH {_EVIDENCE_SQL} SELECT field_name, source_type, preprocessing_variant, count(*) AS n,
              count(*) FILTER (WHERE preprocessing_variant = 'date_cross_check' OR scan_id NOT IN (SELECT scan_id FROM pimg)) AS without_image
             FROM ev GROUP BY ALL""",
@@ -441,6 +448,11 @@ ORACLE = {
         f"""WITH {_RULESET_SQL} SELECT scan_id, CASE WHEN sets = 1 THEN only_set END AS rule_set_id,
              CASE WHEN sets = 0 THEN 'no rule set' WHEN sets > 1 THEN 'overlapping rule sets' END AS rule_set_error FROM dated""",
     ),
+    "ruleset_quarantine": with_views(
+        "scans rule_sets",
+        f"""WITH {_RULESET_SQL} SELECT scan_id, category, CASE WHEN sets = 0 THEN 'no rule set' ELSE 'overlapping rule sets' END AS rule_set_error
+            FROM dated WHERE sets <> 1""",
+    ),
     "active_rules": with_views(
         "scans rule_sets",
         f"""WITH {_RULESET_SQL}, d AS (SELECT max(CAST(created_at AS DATE)) AS d FROM v_scans WHERE created_at < TIMESTAMP '1998-01-01')
@@ -454,7 +466,7 @@ ORACLE = {
         "scans rule_sets declarations", f"WITH {_TABLE_RULES} SELECT scan_id, {_WORST} AS overall_status FROM outcome GROUP BY scan_id"
     ),
     "scan_declarations": with_views(
-        "label_lines " + _SYM,
+        "label_lines scans " + _SYM,
         f"""WITH {_DECLARED_SQL} SELECT scan_id, field_name, verdict, reason, confidence, panel, raw_text, display FROM decl""",
     ),
 }

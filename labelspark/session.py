@@ -27,11 +27,13 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g") ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: the cluster's own setting, a fresh folder only where unset."""
+    """Shared folder for lineage cuts: the cluster's own setting; a fresh folder only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not configured and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     folder = configured or tempfile.mkdtemp(prefix="labelspark-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
