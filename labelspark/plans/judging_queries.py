@@ -95,7 +95,8 @@ def _first_resolved(spark, sf_dir):
 
 def _new_products(spark, sf_dir):
     deduped = _deduped(spark, sf_dir)
-    products = view(spark, sf_dir, "products").filter("product_id % 2 = 0")
+    # Every second product has no code yet.
+    products = view(spark, sf_dir, "products").withColumn("barcode_code", F.when(F.col("product_id") % 2 == 0, F.col("barcode_code")))
     resolved = C.first_resolved(deduped, _answers(spark, sf_dir))
     return C.new_products(resolved, products, deduped).select(
         "barcode_code", "barcode_format", "identity", "manufacturer", "quantity_value"
@@ -109,8 +110,15 @@ def _cache_upsert(spark, sf_dir):
 
 
 def _company_pages(spark, sf_dir):
-    pages = C.company_records(table(spark, sf_dir, "pages"), [r"<title>([^<]+)</title>"])
-    return pages.select("page_id", "manufacturer")
+    """Pages with a company cell or entry made from their host."""
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    cell = (
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<td class="the company name"> '), host, F.lit(" </td>")))
+        .when(F.col("page_id") % 3 == 1, F.concat(F.lit('<script>{"companyName" : "'), host, F.lit('"}</script>')))
+        .otherwise("")
+    )
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", cell))
+    return C.company_records(pages).select("page_id", "manufacturer")
 
 
 def _scale(spark, sf_dir):
@@ -152,7 +160,11 @@ def _table_declarations(spark, sf_dir):
         .when(f == "cautions", typed_value(present=n % 2 == 0))
     )
     scale = F.struct(F.lit("ESTABLISHED").alias("status"), F.lit(12.0).alias("pixels_per_mm"))
-    return d.filter("declaration_id % 11 <> 3").withColumn("value", F.when(n % 13 != 0, value)).withColumn("scale", scale)
+    # A row of a field that no rule knows leaves its own field undeclared.
+    return (
+        d.withColumn("value", F.when(n % 13 != 0, value)).withColumn("scale", scale)
+        .withColumn("field_name", F.when(n % 11 == 3, "batch_no").otherwise(f))
+    )
 
 
 def _evaluate_table(spark, sf_dir):
@@ -287,14 +299,14 @@ outcome AS (SELECT *, CASE WHEN verdict = 'NOT_APPLICABLE' OR NOT has THEN NULL
 
 
 _TABLE_DECLARED = """
-td AS (SELECT scan_id, field_name, verdict, confidence, declaration_id % 13 <> 0 AND field_name <> 'nutrition_facts' AS present,
+td AS (SELECT scan_id, CASE WHEN declaration_id % 11 = 3 THEN 'batch_no' ELSE field_name END AS field_name, verdict, confidence, declaration_id % 13 <> 0 AND field_name <> 'nutrition_facts' AS present,
   CASE field_name WHEN 'mrp' THEN declaration_id % 13 = 0 OR declaration_id % 500 < 20
    WHEN 'net_quantity' THEN declaration_id % 13 = 0 OR declaration_id % 3 = 1
    WHEN 'manufacturer' THEN declaration_id % 13 = 0 OR declaration_id % 4 = 0
    WHEN 'manufacture_date' THEN declaration_id % 13 = 0 OR declaration_id % 5 = 0 OR declaration_id % 14 NOT BETWEEN 1 AND 12
    WHEN 'expiry_date' THEN declaration_id % 13 = 0 OR declaration_id % 5 = 0 OR declaration_id % 14 NOT BETWEEN 1 AND 12
    WHEN 'nutrition_facts' THEN true ELSE false END AS problem
- FROM v_declarations WHERE declaration_id % 11 <> 3)"""
+ FROM v_declarations)"""
 _TABLE_RULES = f"{_RULESET_SQL}, {_TABLE_DECLARED}, {_judge_sql('td')}"
 _WORST = (
     "coalesce((['VIOLATION', 'CONFLICT', 'NOT_VERIFIED', 'SATISFIED'])[min(CASE verdict WHEN 'VIOLATION' THEN 1 WHEN 'CONFLICT' THEN 2"
@@ -432,8 +444,8 @@ ORACLE = {
             SELECT barcode, CASE WHEN found THEN name END, 1 FROM v_product_cache WHERE barcode NOT IN (SELECT barcode FROM ans)""",
     ),
     "extract_company_html": (
-        "SELECT page_id, trim(regexp_extract(html, '<title>([^<]+)</title>', 1)) AS manufacturer FROM pages"
-        " WHERE trim(regexp_extract(html, '<title>([^<]+)</title>', 1)) <> ''"
+        "SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS manufacturer FROM pages"
+        " WHERE page_id % 3 < 2 AND html IS NOT NULL AND regexp_extract(url, '^https?://([^/?#]+)', 1) <> ''"
     ),
     "scale_per_panel": with_views(
         "scan_symbols",

@@ -23,7 +23,7 @@ def _tokens_to_lines(spark, sf_dir):
 
 def _clean_lines(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").selectExpr(
-        "doc_id", "source AS text", "CAST(n_chars % 1300 AS DOUBLE) / 1000 - 0.1D AS confidence"
+        "doc_id", "text", "CAST(n_chars % 1300 AS DOUBLE) / 1000 - 0.1D AS confidence"
     )
     return L.clean_lines(lines).select("doc_id", "text", "confidence")
 
@@ -113,7 +113,7 @@ def _conflict_candidates(spark, sf_dir):
 
 
 def _pair_predicates(spark, sf_dir):
-    """Each line against the next one of its linenumber class: a linear set of pairs."""
+    """Each line against the first one of its scan: a linear set of pairs."""
     lines = label_lines(spark, sf_dir)
     other = lines.select(
         "scan_id", "line_no", "panel", F.col("text").alias("t2"), F.col("bbox").alias("b2"), F.col("confidence").alias("c2")
@@ -245,7 +245,7 @@ ORACLE = {
             FROM t WHERE word <> '' GROUP BY ALL""",
     ),
     "clean_lines": (
-        "SELECT doc_id, trim(source) AS text, round_even(greatest(CAST(n_chars % 1300 AS DOUBLE) / 1000 - 0.1::DOUBLE, 0.0::DOUBLE), 3)"
+        "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, round_even(greatest(CAST(n_chars % 1300 AS DOUBLE) / 1000 - 0.1::DOUBLE, 0.0::DOUBLE), 3)"
         " AS confidence FROM documents"
     ),
     "clamp_confidence": (

@@ -149,7 +149,7 @@ VIEWS: dict[str, tuple[str, int | None, list[str], str | None]] = {
             f" ELSE 'EAN13: ' || {_BARCODE.format('o_custkey')} END AS raw_text",
             "o_orderdate AS extracted_at", "o_orderkey * 2 + k AS evidence_no",
         ],
-        "o_orderkey % 3 <> 0",
+        None,
     ),
     "inspections": (
         "events", None,
@@ -217,7 +217,9 @@ VIEWS: dict[str, tuple[str, int | None, list[str], str | None]] = {
     "catalog": (
         "part", None,
         [
-            f"{_BARCODE.format('p_partkey')} AS barcode", "p_partkey % 3 AS source_rank",
+            # A record under another key is a miss of the catalog.
+            f"CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE '' END || {_BARCODE.format('p_partkey')} AS barcode",
+            "p_partkey % 3 AS source_rank",
             "p_name AS name", "p_brand AS brand", "p_type AS category",
             "CASE WHEN p_partkey % 2 = 0 THEN 'Supplier ' || CAST(p_partkey % 100 AS STRING) || ' Pvt Ltd'"
             " ELSE NULL END AS manufacturer",
@@ -225,16 +227,16 @@ VIEWS: dict[str, tuple[str, int | None, list[str], str | None]] = {
             " ELSE ' L' END AS quantity",
             "CASE WHEN p_partkey % 4 = 0 THEN p_retailprice ELSE NULL END AS mrp",
         ],
-        "p_partkey % 5 <> 0",
+        None,
     ),
     "product_cache": (
         "part", None,
         [
-            f"{_BARCODE.format('p_partkey')} AS barcode",
+            f"CASE WHEN p_partkey % 6 <> 0 THEN 'x' ELSE '' END || {_BARCODE.format('p_partkey')} AS barcode",
             "CASE WHEN p_partkey % 12 = 0 THEN NULL ELSE 'cached ' || p_name END AS name",
             "p_partkey % 12 <> 0 AS found",
         ],
-        "p_partkey % 6 = 0",
+        None,
     ),
     # Decoded symbols per scan, in decoding order.
     "scan_symbols": (
@@ -242,8 +244,11 @@ VIEWS: dict[str, tuple[str, int | None, list[str], str | None]] = {
         [
             "o_orderkey AS scan_id",
             "CASE WHEN k = 2 THEN 'back' ELSE 'front' END AS panel", "k AS ord",
-            "CASE WHEN k = 0 AND o_orderkey % 7 = 0 THEN 'QRCODE' ELSE 'EAN13' END AS format",
-            "CASE WHEN k = 0 AND o_orderkey % 7 = 0 THEN CASE o_orderkey % 3"
+            # Scans without a barcode, or without a second one, hold a code of plain words instead.
+            "CASE WHEN k = 0 AND o_orderkey % 7 = 0 OR o_orderkey % 4 = 1 OR k = 2 AND o_orderkey % 2 = 1 THEN 'QRCODE'"
+            " ELSE 'EAN13' END AS format",
+            "CASE WHEN o_orderkey % 4 = 1 OR k = 2 AND o_orderkey % 2 = 1 THEN 'plain words'"
+            " WHEN k = 0 AND o_orderkey % 7 = 0 THEN CASE o_orderkey % 3"
             "  WHEN 0 THEN 'https://a.example/' || CAST(o_custkey AS STRING)"
             "  WHEN 1 THEN 'batch=' || CAST(o_custkey AS STRING) ELSE 'plain words' END"
             f" WHEN k = 1 AND o_orderkey % 11 = 0 THEN {_BARCODE.format('(o_custkey + 1)')}"
@@ -251,7 +256,7 @@ VIEWS: dict[str, tuple[str, int | None, list[str], str | None]] = {
             "CAST(o_orderkey % 60 * 8 AS DOUBLE) AS width",
             "CAST(20 + o_custkey % 120 AS DOUBLE) AS height",
         ],
-        "o_orderkey % 4 <> 1 AND (k < 2 OR o_orderkey % 2 = 0)",
+        None,
     ),
     "symbols": (
         "part", None,
