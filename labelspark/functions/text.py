@@ -49,10 +49,19 @@ def number(text: Column) -> Column:
 def rounded(value: Column, places: int) -> Column:
     """Round half to even on the binary value, so 0.5075 (stored just below) gives 0.507.
 
-    `F.round` works on the decimal digits instead and would give 0.508.
+    `F.round` works on the decimal digits instead and would give 0.508. The product with the power of
+    ten is rounded itself, so where it looks like a tie the sign of its error decides; the error is
+    computed exactly from the halves of the factor.
     """
     scale = float(10**places)
-    return F.rint(value * scale) / scale
+    product = value * scale
+    # Dekker's splitting: high has the upper 26 bits, and so high * scale is exact.
+    wide = value * F.lit(134217729.0)
+    high = wide - (wide - value)
+    error = (high * scale - product) + (value - high) * scale
+    nearest = F.rint(product)
+    tie = F.abs(product - nearest) == 0.5
+    return F.when(tie & (error > 0), F.floor(product) + 1.0).when(tie & (error < 0), F.floor(product).cast("double")).otherwise(nearest) / scale
 
 
 def clamp_confidence(value: Column) -> Column:
