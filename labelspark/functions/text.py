@@ -54,14 +54,17 @@ def rounded(value: Column, places: int) -> Column:
     computed exactly from the halves of the factor.
     """
     scale = float(10**places)
-    product = value * scale
-    # Dekker's splitting: high has the upper 26 bits, and so high * scale is exact.
-    wide = value * F.lit(134217729.0)
-    high = wide - (wide - value)
-    error = (high * scale - product) + (value - high) * scale
-    nearest = F.rint(product)
-    tie = F.abs(product - nearest) == 0.5
-    return F.when(tie & (error > 0), F.floor(product) + 1.0).when(tie & (error < 0), F.floor(product).cast("double")).otherwise(nearest) / scale
+
+    def nearest(v: Column) -> Column:
+        product = v * scale
+        # The upper 24 bits and the rest are multiplied without any error.
+        high = v.cast("float").cast("double")
+        error = (high * scale - product) + (v - high) * scale
+        tie = F.abs(product - F.rint(product)) == 0.5
+        return F.rint(product + F.when(tie, F.signum(error) * 0.25).otherwise(0.0)) / scale
+
+    # As a lambda the value is written once into the generated code, which would else outgrow a method.
+    return F.transform(F.array(value.cast("double")), nearest)[0]
 
 
 def clamp_confidence(value: Column) -> Column:
