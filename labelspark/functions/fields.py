@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelspark import fixed
-from labelspark.functions.text import matched, number, rounded, strip
+from labelspark.functions.text import matched, number, plain, rounded, strip
 
 
 def _when_all(value: Column, *needed: Column) -> Column:
@@ -45,7 +45,7 @@ def price_tier(text: Column) -> Column:
 
 
 def _price(text: Column, confidence: Column, currency: Column, tier: Column) -> Column:
-    amount = number(matched(text, fixed.FIRST_NUMBER))
+    amount = number(matched(plain(text), fixed.FIRST_NUMBER))
     return _when_all(
         F.struct(
             rounded(amount, 2).alias("amount"), currency.alias("currency"),
@@ -74,11 +74,12 @@ def is_spelled_price(text: Column) -> Column:
 
 
 def quantity_value(text: Column, confidence: Column) -> Column:
-    value = number(matched(text, fixed.NUMBER_UNIT, 1))
+    readable = plain(text)
+    value = number(matched(readable, fixed.NUMBER_UNIT, 1))
     return _when_all(
         F.struct(
             rounded(value, 2).alias("value"),
-            F.lower(F.regexp_extract(text, fixed.NUMBER_UNIT, 2)).alias("unit"),
+            F.lower(F.regexp_extract(readable, fixed.NUMBER_UNIT, 2)).alias("unit"),
             confidence.alias("confidence"), text.alias("raw_text"),
         ),
         value,
@@ -87,7 +88,7 @@ def quantity_value(text: Column, confidence: Column) -> Column:
 
 def catalog_quantity(text: Column) -> Column:
     """"500 g" style text of a catalog record as (value, unit)."""
-    trimmed = strip(text)
+    trimmed = strip(plain(text))
     value = number(matched(trimmed, fixed.CATALOG_QUANTITY, 1))
     return _when_all(
         F.struct(
@@ -102,7 +103,8 @@ def catalog_quantity(text: Column) -> Column:
 
 
 def manufacturer_value(text: Column, confidence: Column) -> Column:
-    name = F.nullif(strip(F.regexp_replace(text, fixed.MANUFACTURER_LABEL, "")), F.lit(""))
+    # (?U): the blanks after the label are of any kind, and the name keeps its own characters.
+    name = F.nullif(strip(F.regexp_replace(text, f"(?U){fixed.MANUFACTURER_LABEL}", "")), F.lit(""))
     return _named(name, confidence, text)
 
 
@@ -135,7 +137,8 @@ def date_value(text: Column) -> Column:
 
     The confidence comes from a written "conf: NN" or a constant, never from the OCR line.
     """
-    written = matched(text, fixed.EMBEDDED_CONFIDENCE, 1).try_cast("double") / 100
+    readable = plain(text)
+    written = matched(readable, fixed.EMBEDDED_CONFIDENCE, 1).try_cast("double") / 100
     base = F.coalesce(written, F.lit(fixed.DATE_CONFIDENCE))
 
     def dated(day: Column, month: Column, year: Column, factor: float, valid: Column) -> Column:
@@ -148,11 +151,11 @@ def date_value(text: Column) -> Column:
             ),
         )
 
-    day, month, year = (_int(text, fixed.DATE_DMY, g) for g in (1, 2, 3))
-    short_month, short_year = (_int(text, fixed.DATE_MY, g) for g in (1, 2))
-    name = F.lower(matched(text, fixed.DATE_MONTH_YEAR, 1))
+    day, month, year = (_int(readable, fixed.DATE_DMY, g) for g in (1, 2, 3))
+    short_month, short_year = (_int(readable, fixed.DATE_MY, g) for g in (1, 2))
+    name = F.lower(matched(readable, fixed.DATE_MONTH_YEAR, 1))
     named_month = F.array_position(F.array(*map(F.lit, fixed.MONTHS)), name)
-    named_year = _int(text, fixed.DATE_MONTH_YEAR, 2)
+    named_year = _int(readable, fixed.DATE_MONTH_YEAR, 2)
     no_day = F.lit(None)
     return F.coalesce(
         dated(day, month, year, fixed.DATE_NUMERIC_FACTOR, month.between(1, 12) & day.between(1, 31)),
@@ -199,14 +202,14 @@ def default_unit(nutrient: str) -> str:
 
 def nutrient_readings(text: Column) -> Column:
     """Per nutrient in table order: does it match, its value and unit, is it at least named."""
-    lowered = F.lower(text)
+    lowered, readable = F.lower(text), plain(text)
     return F.array(
         *[
             F.struct(
                 F.lit(name).alias("nutrient"),
-                matched(text, pattern, 1).try_cast("double").alias("value"),
-                F.coalesce(matched(text, pattern, 2), F.lit(default_unit(name))).alias("unit"),
-                text.rlike(pattern).alias("matches"),
+                matched(readable, pattern, 1).try_cast("double").alias("value"),
+                F.coalesce(matched(readable, pattern, 2), F.lit(default_unit(name))).alias("unit"),
+                readable.rlike(pattern).alias("matches"),
                 lowered.contains(name).alias("named"),
             )
             for name, pattern in fixed.NUTRIENT_PATTERNS

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,14 +12,28 @@ from pyspark.sql import functions as F
 from labelspark import fixed
 
 
+_DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+_BLANKS = [c for c in map(chr, range(128, 0x3001)) if c.isspace()]
+_FOREIGN = "".join(_DIGITS + _BLANKS)
+_PLAIN = "".join(str(unicodedata.decimal(c)) for c in _DIGITS) + " " * len(_BLANKS)
+_BLANK = r"(?U)[\s\x1c-\x1f]"
+
+
+def plain(text: Column) -> Column:
+    """The text with digits of every script as 0-9 and white space outside ASCII as spaces, one
+    character for one. Patterns are tried on it, so that they see every script's numbers."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, text).otherwise(F.translate(text, _FOREIGN, _PLAIN))
+
+
 def strip(text: Column) -> Column:
-    """Cut white space at both ends (`trim` alone cuts spaces only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Cut white space of every kind at both ends (`trim` alone cuts spaces only)."""
+    return F.regexp_replace(text, rf"^{_BLANK}+|{_BLANK}+$", "")
 
 
 def comparison_key(text: Column) -> Column:
     """Lower case, outer blanks cut, inner blanks one space."""
-    return F.regexp_replace(F.lower(strip(text)), r"\s+", " ")
+    return F.regexp_replace(F.lower(strip(text)), rf"{_BLANK}+", " ")
 
 
 def line_key(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from labelspark import fixed
 from labelspark.functions.geometry import iou
-from labelspark.functions.text import comparison_key, holds_any, strip
+from labelspark.functions.text import comparison_key, holds_any, plain, strip
 
 _KEY = ["scan_id", "field_name"]
 _CANDIDATE = ["text_key", "x", "y", "w", "h", "confidence"]
@@ -20,12 +20,12 @@ _CANDIDATE = ["text_key", "x", "y", "w", "h", "confidence"]
 
 def field_candidates(lines: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """One row per (line, field) whose field pattern matches; blank lines give none."""
-    text = F.col("text")
+    readable = F.col("readable")
     base = ["scan_id", "panel", "line_no", "text", "confidence", "bbox", "source_provider", "preprocessing_variant"]
 
     def found(name: str, pattern: str) -> Column:
         words = fixed.CANDIDATE_WORDS.get(name)
-        return holds_any(F.col("lowered"), words) & text.rlike(pattern) if words else text.rlike(pattern)
+        return holds_any(F.col("lowered"), words) & readable.rlike(pattern) if words else readable.rlike(pattern)
 
     names = [
         F.when(found(name, pattern), F.struct(F.lit(name).alias("field_name"), F.lit(hint).alias("context_hint")))
@@ -33,8 +33,8 @@ def field_candidates(lines: DataFrame, fields: list[str] | None = None) -> DataF
         if fields is None or name in fields
     ]
     return (
-        lines.withColumn("text", strip(text))
-        .select(*base, F.lower("text").alias("lowered"))
+        lines.withColumn("text", strip(F.col("text")))
+        .select(*base, F.lower("text").alias("lowered"), plain(F.col("text")).alias("readable"))
         .select(*base, F.inline(F.array_compact(F.array(*names))))
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from labelspark import fixed
 from labelspark.functions import fields
-from labelspark.functions.text import contains_any, holds_any, rounded, strip
+from labelspark.functions.text import contains_any, holds_any, plain, rounded, strip
 from labelspark.operators.ordered import BLOCK, first_k, with_previous
 
 PANELS = ["front", "back"]
@@ -55,7 +55,7 @@ def best_match(
     """Best line per group: lines with a word, or all of them if none has one and that is allowed."""
     text = F.col("text")
     has_word = contains_any(text, words)
-    length = _match_length(text, pattern)
+    length = _match_length(plain(text), pattern)
     grouped = lines.groupBy(*keys).agg(
         F.bool_or(has_word).alias("has_word"),
         F.max(_scored(length, has_word)).alias("worded"),
@@ -92,18 +92,18 @@ def line_states(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
     expression is evaluated twice or on a line that cannot win.
     """
     wanted = [*_SCORED, "first_line", "spelled", "quantity_first", "caution"] if names is None else names
-    text, lowered = F.col("text"), F.col("lowered")
+    text, lowered, readable = F.col("text"), F.col("lowered"), F.col("readable")
     scored = [n for n in _SCORED if n in wanted]
     base = ["scan_id", "panel", "line_no", "text", "confidence"]
-    staged = lines.select(*base, F.lower("text").alias("lowered")).select(
-        *base, "lowered",
+    staged = lines.select(*base, F.lower("text").alias("lowered"), plain(text).alias("readable")).select(
+        *base, "lowered", "readable",
         *[holds_any(lowered, _SCORED[n][0]).alias(f"{n}_word") for n in scored],
         *([holds_any(lowered, fixed.CAUTION_WORDS).alias("caution_word")] if "caution" in wanted else []),
     ).select(
-        *base, "lowered",
-        *[F.when(F.col(f"{n}_word"), _match_length(text, _SCORED[n][1])).alias(f"{n}_length") for n in scored],
+        *base, "lowered", "readable",
+        *[F.when(F.col(f"{n}_word"), _match_length(readable, _SCORED[n][1])).alias(f"{n}_length") for n in scored],
         *(
-            [(F.col("caution_word") & text.rlike(fixed.CAUTION_PATTERN)).alias("is_caution")]
+            [(F.col("caution_word") & readable.rlike(fixed.CAUTION_PATTERN)).alias("is_caution")]
             if "caution" in wanted else []
         ),
     )
@@ -111,7 +111,7 @@ def line_states(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
         "first_line": lambda: F.min("line_no"),
         "spelled": lambda: F.min(_positioned(lowered.contains("maximum") & lowered.contains("retail"))),
         "quantity_first": lambda: F.min(
-            _positioned(text.rlike(fixed.NUMBER_UNIT_HINT) & text.rlike(fixed.NUMBER_UNIT))
+            _positioned(readable.rlike(fixed.NUMBER_UNIT_HINT) & readable.rlike(fixed.NUMBER_UNIT))
         ),
         "caution": lambda: F.max(
             F.when(
@@ -199,7 +199,7 @@ def above_footnote(lines: DataFrame) -> DataFrame:
     confidence) looks above its first occurrence, so later copies add nothing.
     """
     text = F.col("text")
-    footnote = contains_any(text, fixed.MANUFACTURER_WORDS) & text.rlike(fixed.HEADER_SIGNALS)
+    footnote = contains_any(text, fixed.MANUFACTURER_WORDS) & plain(text).rlike(fixed.HEADER_SIGNALS)
     scans = lines.filter(footnote).select("scan_id").distinct()
     ordered = (
         lines.select("scan_id", "panel", "line_no", "text", "confidence")

@@ -39,24 +39,26 @@ def seed_missing(existing: DataFrame, seeds: DataFrame, key: str = "rule_id") ->
 def select_rulesets(scans: DataFrame, rule_sets: DataFrame) -> DataFrame:
     """Adds rule_set_id and rule_set_error to scans (jurisdiction, inspection_date).
 
-    Rule sets are matched to the distinct days first (as many as the calendar has), where the
-    range condition is cheap; the scans then join on equal (jurisdiction, day). Exactly one valid
-    set or an error, never a guess.
+    The sets of a jurisdiction, as many as its law has versions, become one row and are matched on
+    the scan's own row. That side is small enough for Spark's size check to send it to the scans, so
+    these are not shuffled. Exactly one valid set or an error, never a guess; a scan without day or
+    jurisdiction has no set.
     """
-    days = scans.select("jurisdiction", "inspection_date").distinct()
-    valid = (F.col("effective_from") <= F.col("inspection_date")) & (
-        F.col("effective_to").isNull() | (F.col("effective_to") > F.col("inspection_date"))
+    versions = rule_sets.groupBy("jurisdiction").agg(
+        F.collect_list(F.struct("rule_set_id", "effective_from", "effective_to")).alias("_sets")
     )
-    matched = (
-        days.join(rule_sets.select("jurisdiction", "rule_set_id", "effective_from", "effective_to"), "jurisdiction", "left")
-        .groupBy("jurisdiction", "inspection_date")
-        .agg(F.count_if(valid).alias("sets"), F.min(F.when(valid, F.col("rule_set_id"))).alias("only"))
-        .select(
-            "jurisdiction", "inspection_date", F.when(F.col("sets") == 1, F.col("only")).alias("rule_set_id"),
-            F.when(F.col("sets") == 0, "no rule set").when(F.col("sets") > 1, "overlapping rule sets").alias("rule_set_error"),
-        )
+    day = F.col("inspection_date")
+    valid = F.filter(
+        F.coalesce("_sets", F.slice("_sets", 1, 0)),
+        lambda s: (s["effective_from"] <= day) & (s["effective_to"].isNull() | (s["effective_to"] > day)),
     )
-    return scans.join(matched, ["jurisdiction", "inspection_date"], "left")
+    found = F.coalesce(F.size(F.col("_valid")), F.lit(0))
+    return scans.join(versions, "jurisdiction", "left").withColumn("_valid", valid).withColumns(
+        {
+            "rule_set_id": F.when(found == 1, F.get("_valid", F.lit(0))["rule_set_id"]),
+            "rule_set_error": F.when(found < 1, "no rule set").when(found > 1, "overlapping rule sets"),
+        }
+    ).drop("_sets", "_valid")
 
 
 def without_ruleset(dated: DataFrame) -> DataFrame:

@@ -12,9 +12,23 @@ from labelspark.operators import extraction as X
 from labelspark.plans.views import label_lines, view, with_views
 
 
-def _field(field: str, *columns: str):
+_DEVANAGARI = "".join(chr(0x966 + d) for d in range(10))
+_WRITTEN = ("0123456789 ", _DEVANAGARI + "\u00a0")
+
+
+def _script_lines(spark, sf_dir) -> DataFrame:
+    """The label lines in Devanagari digits and no-break spaces: the same values must be found."""
+    return label_lines(spark, sf_dir).withColumn("text", F.translate("text", *_WRITTEN))
+
+
+def _script_digits(spark, sf_dir) -> DataFrame:
+    """Devanagari digits only: a word list entry of two words has a plain space between them."""
+    return label_lines(spark, sf_dir).withColumn("text", F.translate("text", "0123456789", _DEVANAGARI))
+
+
+def _field(field: str, *columns: str, read=label_lines):
     def run(spark, sf_dir) -> DataFrame:
-        found = X.extract_fields(label_lines(spark, sf_dir), [field]).select("scan_id", field)
+        found = X.extract_fields(read(spark, sf_dir), [field]).select("scan_id", field)
         return found.filter(F.col(field)["value"].isNotNull()).select(
             "scan_id", F.col(field)["panel"].alias("panel"),
             *[F.col(field)["value"][c].alias(c) for c in columns],
@@ -60,8 +74,8 @@ def _date_source(spark, sf_dir):
     return X.date_source_panel(label_lines(spark, sf_dir), dates).select("scan_id", "field_name", "panel")
 
 
-def _nutrition(spark, sf_dir):
-    facts = X.nutrition_facts(label_lines(spark, sf_dir))
+def _nutrition(spark, sf_dir, read=label_lines):
+    facts = X.nutrition_facts(read(spark, sf_dir))
     return facts.select("scan_id", F.posexplode("nutrients").alias("pos", "n")).select(
         "scan_id", "pos", "n.nutrient", "n.value", "n.unit", "n.confidence", "n.raw_text"
     )
@@ -106,6 +120,11 @@ QUERIES = {
     "date_checks": _date_checks,
     "date_source_panel": _date_source,
     "extract_nutrition": _nutrition,
+    "script_mrp": _field("mrp", "amount", "currency", "tier", "confidence", "raw_text", read=_script_lines),
+    "script_net_quantity": _field("net_quantity", "value", "unit", "confidence", "raw_text", read=_script_lines),
+    "script_manufacturer": _field("manufacturer", "name", "confidence", "raw_text", read=_script_lines),
+    "script_expiry_date": _field("expiry_date", "day", "month", "year", "confidence", "raw_text", read=_script_digits),
+    "script_nutrition": lambda spark, sf_dir: _nutrition(spark, sf_dir, _script_lines),
     "nutrition_panel_lines": _nutrition_panels,
     "parse_catalog_quantity": _catalog_quantity,
     "symbol_evidence_text": _symbol_text,
@@ -276,6 +295,12 @@ n_facts AS (SELECT scan_id, list_reduce(xs, lambda a, x: CASE
    ELSE a END, CAST([] AS {_FACT}[])) AS facts FROM n_list),
 nutrition AS (SELECT h.scan_id, coalesce(facts, []) AS facts FROM n_head h LEFT JOIN n_facts f ON f.scan_id = h.scan_id)"""
 
+
+
+def _rewritten(column: str, length: int = 11) -> str:
+    return f"translate({column}, '{_WRITTEN[0][:length]}', '{_WRITTEN[1][:length]}') AS {column}"
+
+
 ORACLE = {
     "extract_nutrition": with_views(
         "label_lines",
@@ -317,6 +342,19 @@ ORACLE = {
               THEN 'front' ELSE 'back' END AS panel
             FROM d JOIN v_label_lines l ON l.scan_id = d.scan_id GROUP BY ALL""",
     ),
+    "script_mrp": with_views("label_lines", f"WITH {PRICE_SQL} SELECT * REPLACE ({_rewritten('raw_text')}) FROM price"),
+    "script_net_quantity": with_views(
+        "label_lines", f"WITH {QUANTITY_SQL} SELECT * REPLACE ({_rewritten('raw_text')}) FROM quantity"
+    ),
+    "script_manufacturer": with_views(
+        "label_lines", f"WITH {MAKER_SQL} SELECT * REPLACE ({_rewritten('raw_text')}, {_rewritten('name')}) FROM maker"
+    ),
+    "script_expiry_date": with_views("label_lines", f"WITH {_EXPIRES} SELECT * REPLACE ({_rewritten('raw_text', 10)}) FROM expires"),
+    "script_nutrition": with_views(
+        "label_lines",
+        f"""WITH {NUTRITION_SQL}, u AS (SELECT scan_id, unnest(facts) AS f, unnest(range(len(facts))) AS pos FROM nutrition)
+            SELECT scan_id, pos, f.nutrient, f.value, f.unit, f.confidence, translate(f.raw_text, '{_WRITTEN[0]}', '{_WRITTEN[1]}') AS raw_text FROM u""",
+    ),
     "nutrition_panel_lines": with_views(
         "label_lines",
         f"""WITH o AS (SELECT *, row_number() OVER {_W} AS pos FROM v_label_lines),

@@ -61,8 +61,11 @@ def _scan_items(spark, sf_dir):
 
 def _scan_page(spark, sf_dir):
     rows = Q.page(_scans(spark, sf_dir), "created_at", "scan_id", 2, 20)
+    # Only what belongs to the page is aggregated.
+    of_page = lambda df: df.join(rows.select("scan_id"), "scan_id", "left_semi")
     return Q.scan_items(
-        rows, _inspections(spark, sf_dir), _declarations(spark, sf_dir), _products(spark, sf_dir), _symbols(spark, sf_dir)
+        rows, of_page(_inspections(spark, sf_dir)), of_page(_declarations(spark, sf_dir)), _products(spark, sf_dir),
+        of_page(_symbols(spark, sf_dir)),
     )
 
 

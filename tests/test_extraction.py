@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from labelspark import fixed
 from labelspark.operators import extraction as X
@@ -142,3 +143,21 @@ def test_above_footnote_across_blocks(make_lines, monkeypatch):
 
 def test_fixed_fields():
     assert len(fixed.FIELDS) == 7 == len(fixed.SEED_RULES)
+
+
+def test_other_scripts(spark, make_lines):
+    from labelspark.functions.text import comparison_key, strip
+
+    lines = make_lines({
+        "digits": ["MRP \u20b9 \u0967\u0968\u0966.\u096b\u0966", "Net Qty: \u096b\u0966\u0966 g", "MFD \u0967\u0968/\u0966\u096b/\u0968\u0966\u0968\u096b"],
+        "blanks": ["MRP \u20b9\u00a0120", "NET QUANTITY:\u2009150\u00a0g", "Manufacturer:\u00a0Acme \u0967 Ltd"],
+    })
+    got = {r.scan_id: r for r in X.extract_fields(lines).collect()}
+    a, b = got["digits"], got["blanks"]
+    assert (a.mrp.value.amount, a.net_quantity.value.value, b.mrp.value.amount, b.net_quantity.value.value) == (120.5, 500.0, 120.0, 150.0)
+    made = a.manufacture_date.value
+    assert (made.day, made.month, made.year) == (12, 5, 2025)
+    # What is quoted keeps its own characters.
+    assert b.manufacturer.value.name == "Acme \u0967 Ltd" and a.mrp.value.raw_text == "MRP \u20b9 \u0967\u0968\u0966.\u096b\u0966"
+    row = spark.createDataFrame([("\u00a0 a\u2003\u00a0b\x1f",)], "t string").select(strip(F.col("t")).alias("s"), comparison_key(F.col("t")).alias("k")).first()
+    assert (row.s, row.k) == ("a\u2003\u00a0b", "a b")
