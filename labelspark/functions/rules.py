@@ -140,8 +140,7 @@ def font_size_outcome(value: Column, scale: Column, conditions: Column) -> Colum
 
 
 def evaluate_declaration(
-    declared: Column, rule_applies_to: Column, conditions: Column, category: Column,
-    with_font_size: bool = True,
+    declared: Column, rule_applies_to: Column, conditions: Column, category: Column
 ) -> Column:
     """(verdict, reason, confidence) of one declaration under one rule.
 
@@ -165,7 +164,8 @@ def evaluate_declaration(
         return F.struct(lift(verdict).alias("verdict"), lift(reason).alias("reason"), sure.cast("double").alias("confidence"))
 
     none = F.lit(None)
-    result = (
+    font = font_size_outcome(value, declared["scale"], conditions)
+    return (
         F.when(
             not_applicable,
             outcome("NOT_APPLICABLE", _say("rule not applicable to category '", category, "'"), none),
@@ -176,12 +176,8 @@ def evaluate_declaration(
             declared["verdict"] == "CONFLICT",
             outcome("CONFLICT", _say("conflicting evidence for '", declared["field_name"], "'"), given),
         )
-    )
-    if with_font_size:
-        font = font_size_outcome(value, declared["scale"], conditions)
-        result = result.when(font.isNotNull(), outcome(font["verdict"], font["reason"], given))
-    return (
-        result.when(too_low.isNotNull(), outcome("NOT_VERIFIED", too_low, confidence))
+        .when(font.isNotNull(), outcome(font["verdict"], font["reason"], given))
+        .when(too_low.isNotNull(), outcome("NOT_VERIFIED", too_low, confidence))
         .when(failed.isNotNull(), outcome("VIOLATION", failed, confidence))
         .otherwise(outcome("SATISFIED", "all conditions satisfied", confidence))
     )

@@ -152,20 +152,30 @@ def first_resolved(deduped: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
+def no_scale() -> Column:
+    """Scale of a panel on which no usable symbol was decoded."""
+    return F.struct(
+        F.lit("NOT_VERIFIED").alias("status"), F.lit(None).cast("double").alias("pixels_per_mm"),
+        F.lit("no usable EAN-13 or UPC-A barcode decoded for this image").alias("reason"),
+    )
+
+
 def scale_per_panel(symbols: DataFrame) -> DataFrame:
     """Physical scale of each panel: that of its last usable symbol, before deduplication."""
     scale = barcode_scale(F.col("format"), F.col("width"), F.col("height"))
     scaled = symbols.select("scan_id", "panel", "ord", scale.alias("scale"))
     usable = F.when(F.col("scale.status") == "ESTABLISHED", F.struct("ord", "scale"))
-    none = F.struct(
-        F.lit("NOT_VERIFIED").alias("status"), F.lit(None).cast("double").alias("pixels_per_mm"),
-        F.lit("no usable EAN-13 or UPC-A barcode decoded for this image").alias("reason"),
-    )
     return scaled.groupBy("scan_id", "panel").agg(F.max(usable).alias("last")).select(
-        "scan_id", "panel", F.coalesce("last.scale", none).alias("scale")
+        "scan_id", "panel", F.coalesce("last.scale", no_scale()).alias("scale")
     )
 
 
+def scale_per_scan(symbols: DataFrame) -> DataFrame:
+    """The scales of a scan's panels on one row: scale_front, scale_back."""
+    here = lambda panel: F.max(F.when(F.col("panel") == panel, F.col("scale")))
+    return scale_per_panel(symbols).groupBy("scan_id").agg(here("front").alias("scale_front"), here("back").alias("scale_back"))
+
+
 def new_products(resolved: DataFrame, products: DataFrame, formats: DataFrame) -> DataFrame:
     """Products to insert: barcodes not in the table yet, one row each.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from labelspark import fixed
 from labelspark.functions.fields import compare_dates
 from labelspark.functions.fusion import fuse_field, typed_value
-from labelspark.operators.catalog import image_of_panel, panel_images
+from labelspark.operators.catalog import image_of_panel, no_scale, panel_images
 
 FUSED = ["mrp", "net_quantity", "manufacturer"]
 
@@ -55,6 +55,7 @@ def _declared(
         F.lit(field).alias("field_name"), value.alias("value"), verdict.alias("verdict"),
         reason.alias("reason"), confidence.cast("double").alias("confidence"),
         panel.alias("panel"), raw_text.alias("raw_text"),
+        F.coalesce(F.when(panel == "back", F.col("scale_back")).otherwise(F.col("scale_front")), no_scale()).alias("scale"),
     )
 
 
@@ -119,7 +120,7 @@ def _nutrition() -> Column:
         F.when(some & readable, "SATISFIED").otherwise("NOT_VERIFIED"),
         F.when(~some, "no nutrition panel detected").when(~readable, "no nutrition data found"),
         F.when(some, total / F.size(nutrients)).otherwise(0.0),
-        F.col("nutrition_panel"), F.lit(""),
+        F.coalesce("nutrition_panel", F.lit("front")), F.lit(""),
     )
 
 
@@ -141,16 +142,19 @@ def _absent_caution() -> Column:
 
 
 def build_declarations(
-    scans: DataFrame, extracted: DataFrame, nutrition: DataFrame, conflicts: DataFrame, resolved: DataFrame
+    scans: DataFrame, extracted: DataFrame, nutrition: DataFrame, conflicts: DataFrame, resolved: DataFrame,
+    scales: DataFrame,
 ) -> DataFrame:
     """One row per row of `scans` with its seven declarations in `declared`; a scan without label lines
-    gets what its catalog says, an absent caution, and otherwise unverified fields."""
+    gets what its catalog says, an absent caution, and otherwise unverified fields. Each declaration
+    carries the physical scale of its panel."""
     joined = (
         scans.select("scan_id").join(extracted, "scan_id", "left")
         .withColumn("cautions", F.coalesce("cautions", _absent_caution()))
         .join(nutrition, "scan_id", "left")
         .join(conflicts, "scan_id", "left")
         .join(resolved, "scan_id", "left")
+        .join(scales, "scan_id", "left")
         .withColumn(
             "date_comparison",
             compare_dates(F.col("manufacture_date")["value"], F.col("expiry_date")["value"]),

@@ -86,7 +86,7 @@ def declared_array(declarations: DataFrame, order: list[str]) -> DataFrame:
     return firsts.groupBy("scan_id").agg(F.collect_list("d").alias("declared"))
 
 
-def evaluate(scans: DataFrame, rules: DataFrame, with_font_size: bool = False) -> DataFrame:
+def evaluate(scans: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per (scan, rule): verdict, reason and confidence.
 
     `scans` has scan_id, rule_set_id, category and `declared`, an array of at most one declaration
@@ -100,7 +100,7 @@ def evaluate(scans: DataFrame, rules: DataFrame, with_font_size: bool = False) -
         "rule_set_id",
     ).withColumn("declaration", match)
     outcome = evaluate_declaration(
-        F.col("declaration"), F.col("applicability"), F.col("conditions"), F.col("category"), with_font_size
+        F.col("declaration"), F.col("applicability"), F.col("conditions"), F.col("category")
     )
     return placed.withColumn("outcome", outcome).select(
         "scan_id", "rule_id", "rule_ord", F.col("required_declaration").alias("field_name"),
@@ -141,7 +141,7 @@ def judge_declarations(scans: DataFrame, rules: DataFrame) -> DataFrame:
         "field_name", F.col("declaration.field_name")
     )
     outcome = evaluate_declaration(
-        F.col("declaration"), F.col("rule.applicability"), F.col("rule.conditions"), F.col("category"), False
+        F.col("declaration"), F.col("rule.applicability"), F.col("rule.conditions"), F.col("category")
     )
     placed = rows.join(last, ["rule_set_id", "field_name"], "left").withColumn(
         "outcome", F.when(F.col("rule").isNotNull(), outcome)

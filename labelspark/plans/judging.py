@@ -16,7 +16,8 @@ from labelspark.operators.extraction import extract_fields, nutrition_facts
 
 @dataclass
 class LabelInputs:
-    """Input tables of the job. `scans` has scan_id, jurisdiction, inspection_date, category."""
+    """Input tables of the job. `scans` has scan_id, jurisdiction, inspection_date, category;
+    `symbols` scan_id, panel, ord, format, data, width, height."""
 
     lines: DataFrame
     scans: DataFrame
@@ -37,6 +38,7 @@ def declare(inputs: LabelInputs) -> DataFrame:
     return D.build_declarations(
         inputs.scans, extract_fields(inputs.lines), nutrition_facts(inputs.lines),
         D.ensemble_conflicts(E.ensemble(candidates)), C.first_resolved(deduped, answers),
+        C.scale_per_scan(inputs.symbols),
     )
 
 

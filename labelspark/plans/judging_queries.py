@@ -170,7 +170,22 @@ def _table_declarations(spark, sf_dir):
 def _evaluate_table(spark, sf_dir):
     declared = R.declared_array(_table_declarations(spark, sf_dir), ["declaration_id"])
     scans = R.select_rulesets(_scans(spark, sf_dir), view(spark, sf_dir, "rule_sets"))
-    return R.evaluate(scans.join(declared, "scan_id", "left"), R.seeded_rules(spark, RULE_SETS), True)
+    return R.evaluate(scans.join(declared, "scan_id", "left"), R.seeded_rules(spark, RULE_SETS))
+
+
+def _font_sizes(spark, sf_dir):
+    """Rules of 2 to 4 mm against heights in pixels and the scale of each scan's front."""
+    height = F.when(F.col("declaration_id") % 7 != 0, (F.col("declaration_id") % 60).cast("double"))
+    declarations = (
+        _table_declarations(spark, sf_dir).drop("scale")
+        .join(C.scale_per_scan(view(spark, sf_dir, "scan_symbols")).select("scan_id", F.col("scale_front").alias("scale")), "scan_id", "left")
+        .withColumn("value", F.when(F.col("value").isNotNull(), F.col("value").withField("font_height_px", height)))
+    )
+    sized = F.col("conditions").withField("min_font_size_mm", F.lit(2.0)).withField("max_font_size_mm", F.lit(4.0))
+    scans = R.select_rulesets(_scans(spark, sf_dir), view(spark, sf_dir, "rule_sets"))
+    declared = R.declared_array(declarations, ["declaration_id"])
+    rules = R.seeded_rules(spark, RULE_SETS).withColumn("conditions", sized)
+    return R.evaluate(scans.join(declared, "scan_id", "left"), rules).select("scan_id", "rule_id", "field_name", "verdict", "confidence")
 
 
 def _rule_results(spark, sf_dir):
@@ -235,6 +250,7 @@ QUERIES = {
     "ruleset_quarantine": _quarantine,
     "active_rules": _active_rules,
     "rule_results": _rule_results,
+    "font_size_rules": _font_sizes,
     "rule_reasons": _reason_counts,
     "worst_status": _overall,
     "scan_declarations": _declarations,
@@ -307,6 +323,23 @@ td AS (SELECT scan_id, CASE WHEN declaration_id % 11 = 3 THEN 'batch_no' ELSE fi
    WHEN 'expiry_date' THEN declaration_id % 13 = 0 OR declaration_id % 5 = 0 OR declaration_id % 14 NOT BETWEEN 1 AND 12
    WHEN 'nutrition_facts' THEN true ELSE false END AS problem
  FROM v_declarations)"""
+_FRONT_SCALE = f"""
+fs AS (SELECT scan_id, round_even(arg_max(greatest(width, height), ord) / {fixed.SYMBOL_WIDTH_MM!r}::DOUBLE, 6) AS per_mm FROM v_scan_symbols
+  WHERE panel = 'front' AND format = 'EAN13' AND width > 0 AND height > 0 AND greatest(width, height) >= 95
+   AND greatest(width, height) / least(width, height) >= 1.5 GROUP BY scan_id)"""
+# A height is known where the declaration has a value and a height above 0, on a panel with a scale.
+_FONT_SQL = f"""{_RULESET_SQL}, {_FRONT_SCALE},
+fd AS (SELECT d.scan_id, CASE WHEN declaration_id % 11 = 3 THEN 'batch_no' ELSE field_name END AS field_name, verdict, confidence,
+  CASE WHEN declaration_id % 13 <> 0 AND field_name <> 'nutrition_facts' AND declaration_id % 7 <> 0 AND declaration_id % 60 > 0
+   THEN round_even((declaration_id % 60)::DOUBLE / per_mm, 4) END AS mm
+ FROM v_declarations d LEFT JOIN fs ON fs.scan_id = d.scan_id),
+judged AS (SELECT p.scan_id, p.rule_id, p.field_name, d.confidence AS given, d.scan_id IS NOT NULL AS has,
+  CASE WHEN p.category IS NOT NULL AND NOT contains(lower(p.applies), 'all') AND NOT contains(lower(p.applies), lower(p.category)) THEN 'NOT_APPLICABLE'
+   WHEN d.scan_id IS NULL THEN CASE WHEN p.must THEN 'VIOLATION' ELSE 'NOT_APPLICABLE' END
+   WHEN d.verdict = 'CONFLICT' THEN 'CONFLICT' WHEN mm IS NULL THEN 'NOT_VERIFIED'
+   WHEN mm BETWEEN 2.0 AND 4.0 THEN 'SATISFIED' ELSE 'VIOLATION' END AS verdict
+ FROM placed p LEFT JOIN fd d ON d.scan_id = p.scan_id AND d.field_name = p.field_name)
+SELECT scan_id, rule_id, field_name, verdict, CASE WHEN verdict = 'NOT_APPLICABLE' OR NOT has THEN NULL ELSE given END AS confidence FROM judged"""
 _TABLE_RULES = f"{_RULESET_SQL}, {_TABLE_DECLARED}, {_judge_sql('td')}"
 _WORST = (
     "coalesce((['VIOLATION', 'CONFLICT', 'NOT_VERIFIED', 'SATISFIED'])[min(CASE verdict WHEN 'VIOLATION' THEN 1 WHEN 'CONFLICT' THEN 2"
@@ -474,6 +507,7 @@ ORACLE = {
     "rule_results": with_views(
         "scans rule_sets declarations", f"WITH {_TABLE_RULES} SELECT scan_id, rule_id, field_name, verdict, confidence FROM outcome"
     ),
+    "font_size_rules": with_views("scans rule_sets declarations scan_symbols", f"WITH {_FONT_SQL}"),
     "worst_status": with_views(
         "scans rule_sets declarations", f"WITH {_TABLE_RULES} SELECT scan_id, {_WORST} AS overall_status FROM outcome GROUP BY scan_id"
     ),

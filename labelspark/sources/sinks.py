@@ -8,19 +8,11 @@ from labelspark.operators.catalog import newest_cache
 from labelspark.operators.rules import seed_missing
 
 
-def write_scan_results(facts: dict[str, DataFrame], folder: str, mode: str = "append") -> None:
-    """Declarations, evidence, compliance results, nutrition rows and scan statuses, each its own table."""
+def write_scan_results(facts: dict[str, DataFrame], folder: str, batch: str) -> None:
+    """Declarations, evidence, compliance results, nutrition rows and scan statuses, each its own table
+    with one folder per batch: a batch written again replaces its own rows and no others."""
     for name, df in facts.items():
-        df.write.mode(mode).parquet(f"{folder}/{name}")
-
-
-def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "scan_id") -> None:
-    """Catalog table bucketed and sorted by scan, so that per-scan jobs read it without a shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
-
-
-def insert_products(new: DataFrame, folder: str) -> None:
-    new.write.mode("append").parquet(folder)
+        df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
 
 
 def replace_cache(cache: DataFrame, answers: DataFrame, target: str) -> None:

@@ -74,12 +74,12 @@ def limit_attempts(
 
 
 class _Limiter(StatefulProcessor):
-    def __init__(self, limit: int, seconds: int, key: str, event: str) -> None:
+    def __init__(self, limit: int, seconds: int, key: str, event: str, idle_seconds: int | None) -> None:
         self.limit, self.window, self.key, self.event = limit, seconds * 1_000_000, key, event
+        self.ttl = None if idle_seconds is None else idle_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.times = handle.getListState("times", T.StructType([T.StructField("micros", T.LongType())]))
+        self.times = handle.getListState("times", T.StructType([T.StructField("micros", T.LongType())]), ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         times = [row[0] for row in self.times.get()] if self.times.exists() else []
@@ -89,31 +89,26 @@ class _Limiter(StatefulProcessor):
             self.times.put([(t,) for t in times])
         else:
             self.times.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        # An idle key is forgotten once its newest attempt has left the window.
-        if times:
-            self.handle.registerTimer(max(times) // 1000 + self.window // 1000 + 1)
         yield pd.DataFrame({self.key: batch[self.key], self.event: batch[self.event], "accepted": accepted})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.times.clear()
-        return iter(())
-
     def close(self) -> None:
         pass
 
 
 def limit_stream(
     attempts: DataFrame, limit: int, seconds: int, key: str = "key_id", ts: str = "ts", event: str = "event_id",
-    lateness: str = "0 seconds",
+    idle_seconds: int | None = None,
 ) -> DataFrame:
-    """Streaming form over the same rows, state in RocksDB, idle keys dropped by event time."""
-    rows = attempts.select(
-        key, event, F.col(ts).cast("timestamp").alias("at"), F.unix_micros(F.col(ts).cast("timestamp")).alias("micros")
-    ).withWatermark("at", lateness)
+    """Streaming form over the same rows, state in RocksDB: at most `limit` times a key.
+
+    There is no watermark, so a late attempt is answered too: against the accepted attempts known when
+    it arrives, newer ones included. A micro-batch is decided in time order; its size is the source's to bound
+    (maxFilesPerTrigger and the like). Keys are remembered unless `idle_seconds` is given: then a key
+    that had no attempt for so long, by the clock, is forgotten; such a stream also runs empty batches.
+    """
+    rows = attempts.select(key, event, F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"))
     schema = T.StructType([rows.schema[key], rows.schema[event], T.StructField("accepted", T.BooleanType())])
     return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Limiter(limit, seconds, key, event), outputStructType=schema,
-        outputMode="Append", timeMode="EventTime",
+        statefulProcessor=_Limiter(limit, seconds, key, event, idle_seconds), outputStructType=schema,
+        outputMode="Append", timeMode="None" if idle_seconds is None else "ProcessingTime",
     )

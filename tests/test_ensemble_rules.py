@@ -99,7 +99,7 @@ def judged(spark, declared, category=None, rules=None):
         ).alias("declared"),
     )
     table = rules if rules is not None else R.seeded_rules(spark).filter("rule_ord < 3")
-    results = R.evaluate(scan, table, True)
+    results = R.evaluate(scan, table)
     rows = {r.field_name: (r.verdict, r.reason) for r in results.collect()}
     return R.overall_status(results).first().overall_status, rows
 
@@ -156,7 +156,7 @@ def test_conflicting_panels_end_to_end(spark, make_lines):
     inputs = LabelInputs(
         lines=lines,
         scans=spark.sql("SELECT 's' AS scan_id, 'India' AS jurisdiction, DATE'2024-05-01' AS inspection_date, CAST(NULL AS STRING) AS category"),
-        symbols=spark.createDataFrame([], "scan_id string, panel string, ord int, format string, data string"),
+        symbols=spark.createDataFrame([], "scan_id string, panel string, ord int, format string, data string, width double, height double"),
         catalog=spark.createDataFrame([], "barcode string, source_rank int, name string, brand string, category string, manufacturer string,"
                                           "quantity_value double, quantity_unit string, mrp_amount double, mrp_currency string"),
         cache=spark.createDataFrame([], "barcode string, product struct<name:string,brand:string,category:string,manufacturer:string,"

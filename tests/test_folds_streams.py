@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 import random
 
 import numpy as np
@@ -100,6 +101,16 @@ def test_limiter_stream(spark, sf_dir, tmp_path):
     assert {r.event_id: r.accepted for r in out.collect()} == want and set(want.values()) == {True, False}
 
 
+def test_limiter_stream_answers_late_attempts(spark, tmp_path):
+    ddl = "key_id long, ts timestamp, event_id long"
+    for i, day in enumerate(("2024-03-09", "2024-01-01", "2024-03-09")):
+        rows = [(1, datetime.fromisoformat(f"{day}T00:00:0{n}"), 10 * i + n) for n in range(3)]
+        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "in" / f"p={i}"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "p=*"))
+    out = run_stream(G.limit_stream(stream, 2, 60), "append", "late", tmp_path / "cp").collect()
+    assert len(out) == 9 and sum(r.accepted for r in out) == 2
+
+
 def test_dashboard_stream(spark, sf_dir, tmp_path):
     scans = view(spark, sf_dir, "scans")
     scans.write.parquet(str(tmp_path / "in"))
@@ -171,7 +182,8 @@ def test_log_reader_and_sinks(spark, sf_dir, tmp_path):
     (tmp_path / "log.json").write_text('{"timestamp": "2024-01-01T00:00:00Z", "event": "stage_completed", "stage": "ocr", "elapsed_ms": 2.5}\n')
     log = readers.read_pipeline_log(spark, str(tmp_path / "log.json"))
     assert Q.stage_latency(log).first().mean_ms == 2.5
-    sinks.write_scan_results({"scans": view(spark, sf_dir, "scans")}, str(tmp_path / "facts"))
+    for batch in ("1", "1", "2"):
+        sinks.write_scan_results({"scans": view(spark, sf_dir, "scans").filter(f"scan_id % 2 = {batch} - 1")}, str(tmp_path / "facts"), batch)
     assert spark.read.parquet(str(tmp_path / "facts/scans")).count() == 1500
     sinks.write_report_rows({"exports": sinks.export_records(view(spark, sf_dir, "scans"), "docx")}, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r/exports")).count() == 1500
