@@ -62,6 +62,30 @@ def test_language_edges(spark):
     assert bare[0].lang_pred == "und" and not bare[0].accepted
 
 
+def test_language_keeps_every_gram(spark):
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choices(letters, k=6))
+    rows = [(i, " ".join(word("abcdefghijklmnopqrst" if i % 2 else "uvwxyzabcdef") for _ in range(800)), "xy"[i % 2]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 0]
+    batch = pa.RecordBatch.from_pydict({"lang": [r[2] for r in learned], "text": [r[1] for r in learned]})
+    counts = pd.concat(b.to_pandas() for b in language_id.count_grams(iter([batch])))
+    assert counts["lang"].value_counts().max() > 40_000
+    model = language_id.fit(counts)
+    for r in language_id.identify(docs).collect():
+        bits, size = model.word_bits(language_id.words_of(rows[r.doc_id][1]))
+        want = bits.sum(axis=0, dtype=float) / size.sum()
+        assert r.letters == size.sum() and abs(r.entropy - want.min()) < 1e-4 and r.lang_pred == model.langs[want.argmin()]
+
+
+def test_language_blocks(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(300)
+    whole = sorted(map(tuple, language_id.identify(docs).collect()))
+    monkeypatch.setattr(language_id, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(language_id, "CHUNK_CHARS", 3000)
+    assert sorted(map(tuple, language_id.identify(docs.repartition(5)).collect())) == whole
+
+
 def base_spans(text):
     assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(*m.span(), "assign") for m in assign.finditer(text) if len(m[2]) >= 6]
