@@ -21,7 +21,6 @@ from labelspark.llm import arrays
 from labelspark.llm.common import no_null_text, staged
 
 ORDER = 5  # characters of a gram: the predicted one and four before it
-CALIBRATION_ROWS = 4_000  # about so many labelled documents set the rejection limits
 SPREAD = 6.0  # deviations above the mean cross-entropy at which a document is rejected
 LEAST_RATIO = 2.0  # and at least so many times the mean, so that mixed or noisy prose stays
 CHUNK_CHARS = 1 << 21
@@ -369,10 +368,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def _limits(scored: DataFrame, langs: list[str], vocabulary: int) -> tuple[Column, ...]:
     """For a row's language: mean entropy, deviation of long texts, squared deviation of one character,
     over all labelled documents of fold 2 that are recognised; and the limit where there are none."""
-    labelled = scored.filter("fold = 2 and lang is not null")
-    share = min(1.0, CALIBRATION_ROWS / max(labelled.count(), 1))
-    some = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    rows = some.filter("letters > 0 and lang = lang_pred").select("lang", "entropy", "letters")
+    rows = scored.filter("fold = 2 and letters > 0 and lang = lang_pred").select("lang", "entropy", "letters")
     mean = F.avg("entropy").alias("mean")
     means = {r["lang"]: r["mean"] for r in rows.rollup("lang").agg(mean).collect() if r["mean"] is not None}
     if not means:

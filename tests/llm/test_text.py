@@ -86,6 +86,17 @@ def test_language_blocks(spark, sf_dir, monkeypatch):
     assert sorted(map(tuple, language_id.identify(docs.repartition(5)).collect())) == whole
 
 
+def test_language_without_calibration(spark):
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    rows = [(i, "the cat and the dog", "en") for i in range(200)]
+    rows += [(i, "der hund und die katze", "de") for i in range(200, 500) if fold(i) == 0]
+    noise = next(i for i in range(500, 600) if fold(i) == 1)
+    docs = spark.createDataFrame([*rows, (noise, "kßqz jwxv", None), (noise + 100, "die katze", None)], "doc_id long, text string, lang string")
+    by = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    assert by[noise + 100].lang_pred == "de" and by[noise + 100].accepted
+    assert by[noise].lang_pred == "de" and not by[noise].accepted
+
+
 def base_spans(text):
     assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(*m.span(), "assign") for m in assign.finditer(text) if len(m[2]) >= 6]
