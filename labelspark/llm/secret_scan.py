@@ -34,12 +34,15 @@ _HARMLESS = frozenset(
 )
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|change_me|example|none|null|nil|true|false|todo|test|secret|password|your.*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|\$\w+)$")
 _NAME = r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*(?:\[['\"][\w.\-]+['\"]\])?"
-#: A target, an assignment sign and a quoted literal, an identifier, or the rest of a configuration line.
+#: A target, an assignment sign and a quoted literal, an identifier, or what begins the rest of a configuration line.
 _LEX = re.compile(
-    rf"""(?<![\w$.\-])(?:(?P<q>["'])(?P<key>[\w.\-]{{1,200}})(?P=q)|(?P<name>{_NAME}))[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*"""
-    r"""(?:(?P<lq>["'`])(?P<lit>[^"'`\r\n]{1,4096})(?P=lq)|(?P<ref>[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)(?=[ \t]*(?:[;,)\]}\r\n]|$|\#|//))|(?P<bare>[^\s"'`;,]{6,4096})(?=[ \t]*(?:\r|\n|$)))""",
+    rf"""(?<![\w$.\-])(?:(?P<q>["'])(?P<key>[\w.\-]++)(?P=q)|(?P<name>{_NAME}))[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*"""
+    r"""(?:(?P<lq>["'`])(?P<lit>[^"'`\r\n]++)(?P=lq)|(?P<ref>[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)(?=[ \t]*(?:[;,)\]}\r\n]|$|\#|//))|(?P<bare>[^\s"'`;,]{6}))""",
     re.ASCII,
 )
+#: Where the rest of a configuration line ends, and what must follow there.
+_STOP = re.compile(r"""[\s"'`;,]|\Z""", re.ASCII)
+_LINE_END = re.compile(r"[ \t]*(?:\r|\n|\Z)")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -66,11 +69,23 @@ def literal_score(value: str) -> float:
 def _lexed(text: str) -> list[tuple[int, int, str]]:
     """Spans of literals that a sensitive name gets, at once or through other names."""
     pairs = []  # (target, literal span or None, name it refers to)
-    for m in _LEX.finditer(text):
-        target = m["key"] or m["name"]
-        kind = "lit" if m["lit"] is not None else "bare" if m["bare"] is not None else "ref"
-        pairs.append((target, m.span(kind) if kind != "ref" else None, m["ref"]))
+    at, stop, whole = 0, -1, False
+    while m := _LEX.search(text, at):
+        target, at = m["key"] or m["name"], m.end()
+        if m["bare"] is not None:
+            # Looked for once per stretch, however many signs it holds, so that a long one stays linear.
+            if stop < at:
+                stop = _STOP.search(text, at).start()
+                whole = _LINE_END.match(text, stop) is not None
+            if not whole:
+                at = m.start() + 1
+                continue
+            at = stop
+            pairs.append((target, (m.start("bare"), stop), None))
+        else:
+            pairs.append((target, m.span("lit") if m["lit"] is not None else None, m["ref"]))
     known: dict[str, tuple[int, int]] = {}
+    score: dict[tuple[int, int], float] = {}  # a literal that many names refer to is looked at once
     out = []
     for target, span, ref in pairs:
         through = span is None
@@ -82,8 +97,9 @@ def _lexed(text: str) -> list[tuple[int, int, str]]:
             known.pop(short, None)
             continue
         known[short] = known[target] = span
-        value = text[span[0] : span[1]]
-        if name_score(target) + literal_score(value) >= SCORE + 0.5 and literal_score(value) >= 0.4 and name_score(target) >= 0.7:
+        if span not in score:
+            score[span] = literal_score(text[span[0] : span[1]])
+        if name_score(target) + score[span] >= SCORE + 0.5 and score[span] >= 0.4 and name_score(target) >= 0.7:
             out.append((*span, "propagated" if through else "lexed"))
     return out
 
@@ -129,7 +145,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     literal reported through another name is `propagated`; one literal is reported once per kind.
 
     A null or empty text has no spans; rows repeated under one id give a row each; a null id stays
-    null. Texts are scanned whole. An empty table gives an empty result; other columns are not read.
+    null. Texts are scanned whole, literals of any length. An empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), no_null_text(text_col).alias("text"))
     spans = "array<struct<start:int,end:int,kind:string>>"

@@ -122,6 +122,16 @@ def test_secret_lexer():
     assert secret_scan.scan("The token of love: keys and passes, plain prose.") == ([], [])
 
 
+def test_secret_long_literals():
+    rng = random.Random(8)
+    for n in (4000, 4324, 50_000):
+        value = "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=n))
+        for text in (f"client-key-data: {value}\n", f'private_key = "{value}"', f'"{"x" * 300}_private_key": "{value}"', f'key = "{value}"\nprivate_key = key\n'):
+            spans = [(text[a:b], k) for a, b, k in secret_scan.scan(text)[1] if k in ("lexed", "propagated")]
+            assert [v for v, _ in spans] == [value], text[:40]
+    assert secret_scan.scan("ab_key=" * 200_000 + ";")[1] == []  # linear in the text
+
+
 def test_secret_rows(spark, sf_dir):
     docs = spark.createDataFrame([(1, None, 2), (1, "", 2), (None, "token = abcdef1", 2)], "doc_id long, text string, spans int")
     got = secret_scan.secret_scan(docs).collect()
