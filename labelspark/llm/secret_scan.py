@@ -22,7 +22,6 @@ KINDS = ("assign", "access", "hex", "lexed", "propagated")
 ASSIGN_CHARS = 6
 SCORE = 1.0  # least score of a literal
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "auth")
 # Weight of a word of the target's name.
 _WORDS = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "pass": 0.7, "secret": 1.0, "secrets": 1.0, "token": 0.9,
@@ -115,7 +114,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     base += [(*m.span(), "hex") for m in HEX.finditer(text)]
     order = lambda x: (x[0], KINDS.index(x[2]), x[1])
     base.sort(key=order)
-    if not any(s in low for s in _STEMS) or not ("=" in text or ":" in text):
+    if "=" not in text and ":" not in text:
         return base, base
     return base, sorted({*base, *_lexed(text)}, key=order)
 

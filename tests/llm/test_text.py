@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import random
 import re
 import zlib
@@ -132,6 +133,17 @@ def test_secret_long_literals():
     assert secret_scan.scan("ab_key=" * 200_000 + ";")[1] == []  # linear in the text
 
 
+def test_secret_names_without_gate():
+    value = "Zx9$kLm2Qw8!"
+    for words in itertools.chain(*(itertools.permutations(secret_scan._WORDS, n) for n in (1, 2))):
+        name = "_".join(words)
+        if secret_scan.name_score(name) >= 0.7:
+            text = f'{name} = "{value}"'
+            found = secret_scan.scan(text)[1]
+            assert value in {text[a:b] for a, b, k in found if k == "lexed"}, name
+            assert secret_scan.scan(text + "\n# the key")[1] == found
+
+
 def test_secret_rows(spark, sf_dir):
     docs = spark.createDataFrame([(1, None, 2), (1, "", 2), (None, "token = abcdef1", 2)], "doc_id long, text string, spans int")
     got = secret_scan.secret_scan(docs).collect()
