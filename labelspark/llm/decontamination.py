@@ -45,16 +45,33 @@ def originals(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(text, f"[{NAME}{NUMBER}{UNIT}]", " "), F.lit(rf"({_NUM}|[\p{{L}}\p{{M}}]+)"), F.lit(1))
 
 
-def _windows(df: DataFrame, key: str, text: Column, window: int) -> DataFrame:
-    """key, pos, h, cut: every window of template words and its hash; a shorter text is one window."""
-    words = df.select(key, template(text).alias("w")).filter("size(w) > 0")
-    last = F.greatest(F.size("w") - window, F.lit(0))
-    cut = F.slice("w", F.col("pos") + 1, window)
-    return words.select(key, "w", F.explode(F.sequence(F.lit(0), last)).alias("pos")).select(
-        key, "pos", F.xxhash64(cut).alias("h"), cut.alias("cut")
+def _windows(df: DataFrame, key: str, words: Column, size: Column) -> DataFrame:
+    """key, pos, h, cut: every window of `size` (a column of the words "w" or a generator) and its hash."""
+    rows = df.select(key, words.alias("w")).filter("size(w) > 0").select(key, "w", size.alias("k")).filter("size(w) >= k")
+    cut = F.slice("w", F.col("pos") + 1, F.col("k"))
+    return rows.select(key, "w", "k", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("k"))).alias("pos")).select(
+        key, "pos", "k", F.xxhash64(cut).alias("h"), cut.alias("cut")
     )
 
 
+def _sizes(windows: DataFrame) -> list[int]:
+    """The window sizes in use, at most WINDOW of them."""
+    return sorted(r["k"] for r in windows.select("k").distinct().collect())
+
+
+def _verbatim(texts: DataFrame, items: DataFrame, window: int) -> DataFrame | None:
+    """Items found by their own words, all in a row; the columns of find_leaks(). None without items."""
+    exact = lambda text: F.transform(originals(text), F.lower)
+    windows = staged(_windows(items, "item_id", exact(F.col("text")), F.least(F.size("w"), F.lit(window))).select("item_id", F.col("pos").alias("item_pos"), "k", "h"), "item-words")
+    if not (sizes := _sizes(windows)):
+        return None
+    totals = windows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    own = _windows(texts.filter("doc_id is not null"), "doc_id", exact(F.col("text")), F.explode(F.array(*map(F.lit, sizes)))).select("doc_id", "pos", "k", "h")
+    placed = own.join(windows, ["h", "k"]).select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("at")).distinct()
+    whole = placed.groupBy("doc_id", "item_id", "at").agg(F.count(F.lit(1)).alias("n_matched")).join(totals, "item_id").filter("n_matched = n_windows")
+    return whole.select("doc_id", "item_id", "n_windows", "n_matched", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("consistency")).distinct()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
                coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
@@ -69,21 +86,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     without placeholders has consistency 1.
 
     A window of an item with fewer than LITERALS words besides placeholders says nothing about its
-    wording and is not counted. Null and empty texts contain nothing and items without words are never found; an item shorter
-    than the window is one window and is found only in a document that is that short too. Documents
+    wording and is not counted; an item with such windows only, as one of mere numbers, is found by its own
+    words and numbers instead, all in a row, in any case, whatever signs stand between them. An item shorter than the window is
+    one window of its own length. Null and empty texts contain nothing and items without words are never found. Documents
     repeated under one id count as one; of items repeated under one id one is
     taken. Other columns are not read.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), no_null_text(item_text_col).alias("text")).dropDuplicates(["item_id"])
     literal = F.size(F.filter("cut", lambda w: ~w.isin(NAME, NUMBER, UNIT)))
     item_windows = staged(
-        _windows(items, "item_id", F.col("text"), window).filter(literal >= F.least(F.size("cut"), F.lit(LITERALS)))
-        .select("item_id", F.col("pos").alias("item_pos"), "h"),
+        _windows(items, "item_id", template(F.col("text")), F.least(F.size("w"), F.lit(window))).filter(literal >= F.least(F.col("k"), F.lit(LITERALS)))
+        .select("item_id", F.col("pos").alias("item_pos"), "k", "h"),
         "item-windows",
     )
     totals = item_windows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
     texts = docs.select(F.col(id_col).alias("doc_id"), no_null_text(text_col).alias("text"))
-    hits = _windows(texts, "doc_id", F.col("text"), window).drop("cut").join(item_windows, "h")
+    sizes = _sizes(item_windows) or [window]
+    size = F.lit(sizes[0]) if len(sizes) == 1 else F.explode(F.array(*map(F.lit, sizes)))
+    hits = _windows(texts, "doc_id", template(F.col("text")), size).drop("cut").join(item_windows, ["h", "k"])
     # Windows of a passage share pos - item_pos; a dropped or added word moves it by one.
     drift = window // 2 + 1
     lane = F.floor((F.col("pos") - F.col("item_pos")) / (2 * drift))
@@ -117,7 +137,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     mapped = values.groupBy("doc_id", "item_id", "was").agg((F.count(F.lit(1)) == 1).alias("one")).groupBy("doc_id", "item_id").agg(
         F.avg(F.col("one").cast("int")).alias("consistency")
     )
-    return (
+    found = (
         best.join(mapped, ["doc_id", "item_id"], "left")
         .select(
             "doc_id", "item_id", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage"),
@@ -125,6 +145,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         )
         .filter(F.col("consistency") >= consistency)
     )
+    verbatim = _verbatim(texts, items.join(totals, "item_id", "left_anti"), window)
+    return found if verbatim is None else found.unionByName(verbatim)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -243,6 +243,16 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(docs.limit(0), items).count() == 0 and decontamination.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_short_and_numeric_items(spark):
+    filler = "some other words that say nothing about it and go on for a while. "
+    asked = ["12 + 45 * 3 - 8 = ?", "Who wrote Hamlet?", "7 14 21 28 35 42 49 56", "3 + 4", ITEM]
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    rows = [(i, filler + t + " " + filler) for i, t in enumerate(asked)]
+    rows += [(10, "12 + 45 * 3 - 9 = ?"), (11, filler + "7 14 21 28 35 42 49 57"), (12, "8 7 14 21 28 35 0 14 21 28 35 42 49 56"), (13, filler), (14, "4 3"), (15, "who wrote")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, items).collect()} == {(i, i) for i in range(len(asked))}
+
+
 def test_decontamination_finds_planted(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     plain = lambda t: " ".join(re.findall(r"\w+", t.lower()))
