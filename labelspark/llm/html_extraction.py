@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import html
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.llm.common import no_null_text, staged
 
-PATHS_PER_HOST = 8  # a page with none of them uses its own best path
+BLOCK_PAGES = 256  # pages that are kept and sent together
 LEAST_COVER = 0.5  # share of a page's text that a path needs to be voted for
 SEMANTIC = {"article": 1.3, "main": 1.2}
 NAMED = 1.1
@@ -182,47 +183,78 @@ def path_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[str, floa
     return out
 
 
+def _paths(found: list[tuple[tuple[str, ...], str, int]]) -> set[str]:
+    """Every container path of a page."""
+    return {"/".join(w[:d]) for w in {w for w, _, _ in found} for d in range(1, len(w) + 1)}
+
+
+def _best(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[str | None, float]:
+    """The page's own best path and its score."""
+    scores = path_scores(found)
+    path = max(scores, key=lambda p: (scores[p], p.count("/"), p), default=None)
+    return path, scores.get(path, 0.0)
+
+
+def _below(texts: list[tuple[str, str]], path: str | None) -> str:
+    """The texts of (path, text) in and below a path; all without one."""
+    return "\n\n".join(t for w, t in texts if path is None or w == path or w.startswith(path + "/"))
+
+
 def extract(page: str, paths: list[str]) -> tuple[str, str | None]:
     """(text, path) by the first of `paths` that the page has, else by the page's own best path."""
     found = blocks(page)
-    have = {"/".join(w[:d]) for w, _, _ in found for d in range(1, len(w) + 1)}
-    path = next((p for p in paths if p in have), None)
-    if path is None and (scores := path_scores(found)):
-        path = max(scores, key=lambda p: (scores[p], p.count("/"), p))
-    if path is None:
-        return "\n\n".join(t for _, t, _ in found), None
-    steps = tuple(path.split("/"))
-    return "\n\n".join(t for w, t, _ in found if w[: len(steps)] == steps), path
+    have = _paths(found)
+    path = next((p for p in paths if p in have), None) or _best(found)[0]
+    return _below([("/".join(w), t) for w, t, _ in found], path), path
+
 
+_PAGE = pa.struct([("i", pa.int32()), ("host", pa.string()), ("paths", pa.list_(pa.string())), ("vote", pa.string()), ("votes", pa.int64())])
 
-def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of pages: a key, the pages' texts and their paths as a compressed Arrow stream, and each
+    page's host, container paths and vote."""
     for batch in batches:
-        votes: Counter[tuple[str, str]] = Counter()
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            if scores := path_scores(blocks(page)):
-                path = max(scores, key=lambda p: (scores[p], p.count("/"), p))
-                votes[host, path] += round(scores[path] * 1000)
-        rows = list(votes.items())
-        yield pa.RecordBatch.from_pydict(
-            {"host": [k[0] for k, _ in rows], "path": [k[1] for k, _ in rows], "votes": pa.array([v for _, v in rows], pa.int64())},
-        )
+        for first in range(0, batch.num_rows, BLOCK_PAGES):
+            part = batch.slice(first, BLOCK_PAGES)
+            found = [blocks(page) for page in part.column("html").to_pylist()]
+            own = pa.RecordBatch.from_pydict({
+                "page_id": part.column("page_id"), "url": part.column("url"),
+                "at": pa.array([["/".join(w) for w, _, _ in f] for f in found], pa.list_(pa.string())),
+                "texts": pa.array([[t for _, t, _ in f] for f in found], pa.list_(pa.string())),
+            })
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(own)
+            pages = []
+            for i, (host, f) in enumerate(zip(part.column("host").to_pylist(), found, strict=True)):
+                vote, score = _best(f)
+                pages.append({"i": i, "host": host, "paths": sorted(_paths(f)), "vote": vote, "votes": round(score * 1000)})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([uuid.uuid4().hex]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([pages], pa.list_(_PAGE))],
+                names=["block", "texts", "pages"],
+            )
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        done = [extract(page, paths or []) for page, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array([t for t, _ in done], pa.string()), pa.array([p for _, p in done], pa.string())],
-            names=["page_id", "url", "text", "path"],
-        )
+        for packed, chosen in zip(batch.column("texts"), batch.column("chosen").to_pylist(), strict=True):
+            own = pa.ipc.open_stream(packed.as_py()).read_all().combine_chunks().to_batches()[0]
+            path_of = {c["i"]: c["path"] for c in chosen or []}
+            paths = [path_of.get(i) for i in range(own.num_rows)]
+            rows = zip(own.column("at").to_pylist(), own.column("texts").to_pylist(), paths, strict=True)
+            done = [_below(list(zip(at, texts, strict=True)), path) for at, texts, path in rows]
+            yield pa.RecordBatch.from_arrays(
+                [own.column("page_id"), own.column("url"), pa.array(done, pa.string()), pa.array(paths, pa.string())], names=["page_id", "url", "text", "path"],
+            )
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of `pages`: page_id, url, text, path (of the container used).
 
-    Every page votes for its best container path, with its score; votes are summed per host and path; the
-    host's paths, most votes first, are tried on each of its pages, so a page with an odd best
-    container follows its siblings, and a page without any of them falls back on its own best. Blocks
+    Every page votes for its best container path, with its score; votes are summed per host and path, and
+    each page takes that of its own container paths which has most votes of its host, however many paths the host
+    has, so a page with an odd best container follows its siblings. Equal votes go to the longer path. Blocks
     in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
     (by tag, role, class or id) never count. Character references are decoded, white space in a block
     becomes one blank, blocks are joined by an empty line.
@@ -236,11 +268,17 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), no_null_text(html_col).alias("html")
     )
     id_type = rows.schema["page_id"].dataType.simpleString()
-    votes = rows.select("host", "html").mapInArrow(_vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc(F.length("path")), "path"))
-    best = votes.withColumn("rank", rank).filter(F.col("rank") <= PATHS_PER_HOST).groupBy("host").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths")
+    parsed = staged(
+        rows.mapInArrow(_parse, "block string, texts binary, pages array<struct<i:int,host:string,paths:array<string>,vote:string,votes:long>>"), "parsed"
+    )
+    each = parsed.select("block", F.explode("pages").alias("p")).select("block", "p.*")
+    votes = staged(each.filter("vote is not null").groupBy("host", F.col("vote").alias("path")).agg(F.sum("votes").alias("votes")), "host-paths")
+    order = F.struct(-F.col("votes"), -F.length("path"), "path")
+    best = (
+        each.select("block", "i", "host", F.explode("paths").alias("path")).join(votes, ["host", "path"])
+        .groupBy("block", "i").agg(F.min_by("path", order).alias("path"))
+        .groupBy("block").agg(F.collect_list(F.struct("i", "path")).alias("chosen"))
     )
-    # Staged, so Spark knows the size of the list of hosts and broadcasts it only if small.
-    joined = rows.join(staged(best, "host-paths"), "host", "left").select("page_id", "url", "html", "paths")
+    # Staged, so Spark knows its size and need not deal out the texts when it is small.
+    joined = parsed.select("block", "texts").join(staged(best, "page-paths"), "block", "left").select("texts", "chosen")
     return joined.mapInArrow(_apply, f"page_id {id_type}, url string, text string, path string")

@@ -179,6 +179,14 @@ def test_html_consensus(spark):
     assert html_extraction.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_many_templates(spark):
+    body = lambda k, a, b: f'<html><body><div class="t{chr(97 + k)}"><div class="post"><p>{a}</p></div><div class="b"><p>{b}</p></div></div></body></html>'
+    rows = [(k * 100 + i, "http://h.example/x", body(k, "long main text " * 20, "short")) for k in range(12) for i in range(15 - k)]
+    rows += [(5000 + k, "http://h.example/y", body(k, "tiny", "filler words here " * 20)) for k in range(12)]
+    got = {r.page_id: r.text for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and all(got[5000 + k] == "tiny" for k in range(12))
+
+
 def test_html_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     html = {r.page_id: r.html for r in pages.collect()}
