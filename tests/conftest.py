@@ -9,12 +9,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from labelspark.session import local_session  # noqa: E402
+from line_table import LINE_DDL  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
-LINE_DDL = (
-    "scan_id string, panel string, line_no long, text string, confidence double,"
-    "bbox struct<x:double,y:double,w:double,h:double>, source_provider string, preprocessing_variant string"
-)
 
 
 @pytest.fixture(scope="session")

@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from conftest import LINE_DDL
+from line_table import LINE_DDL
 from labelspark import fixed
 from labelspark.functions.fusion import fuse_field, typed_value
 from labelspark.operators import declarations as D
