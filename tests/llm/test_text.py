@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from near_copies import jaccard
 
 import corpus_pipeline
 from labelspark.llm import decontamination, html_extraction, language_id, mixing, secret_scan, url_filter
@@ -319,8 +320,6 @@ def test_pipeline(spark, sf_dir):
             last = {t: i for i, t in sorted(had.items())}
             assert set(has) == set(last.values())
         if name == "ngram_join":
-            from test_dedup import jaccard
-
             assert set(has) == {c for c, _ in jaccard(list(had.items())).values()}
         if name == "decontamination":
             plain = {i: " ".join(re.findall(r"\w+", t.lower())) for i, t in had.items()}
