@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from labelspark.llm import (
-    decontamination, exact_dedup, html_extraction, language_id, mixing, ngram_join, secret_scan, substring_dedup, suffix_dedup, url_filter,
+    byte_bpe, decontamination, exact_dedup, fill_in_middle, html_extraction, language_id, mixing, ngram_join, secret_scan, substring_dedup,
+    suffix_dedup, url_filter,
 )
 
 
@@ -100,11 +102,29 @@ def op10_substring_dedup(spark, sf_dir):
     return rows.select("doc_id", "n_words", _removed(), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    rows = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(fill_in_middle.restore()).alias("restored_sha256"),
+    )
+
+
+def op12_byte_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks)
+    return rows.select(
+        "doc_id", "n_tokens", F.sha2(byte_bpe.little_endian("ids", ranks), 256).alias("ids_sha256"),
+        F.sha2(byte_bpe.decode("ids", ranks), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_language_id, op3_exact_dedup, op4_url_filter, op5_decontamination, op6_suffix_dedup, op7_secret_scan,
-        op8_html_extraction, op9_source_mixing, op10_substring_dedup,
+        op8_html_extraction, op9_source_mixing, op10_substring_dedup, op11_fill_in_middle, op12_byte_bpe,
     )
 }
 
@@ -187,5 +207,21 @@ each AS (SELECT doc_id, p, w[p] AS x FROM words, unnest(range(1, len(w) + 1)) AS
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS k FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM words LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+    "op11_fill_in_middle": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u,
+    list_transform(range(0, 4), lambda k: ('0x' || substr(h, 8 * k + 1, 8))::BIGINT) AS d FROM t),
+c AS (
+  SELECT *, len(u) AS n, least(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS a, greatest(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 100 THEN 'plain'
+      WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (
+  SELECT doc_id, text, n, form, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+    coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(p || m || s) AS restored_sha256 FROM p
 """,
 }
