@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelspark.llm import (
     byte_bpe, decontamination, exact_dedup, fill_in_middle, html_extraction, language_id, mixing, ngram_join, secret_scan, substring_dedup,
-    suffix_dedup, url_filter,
+    suffix_dedup, url_filter, vector_codes,
 )
 
 
@@ -120,11 +120,17 @@ def op12_byte_bpe(spark, sf_dir):
     )
 
 
+def op13_vector_codes(spark, sf_dir):
+    rows, codebooks = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.fingerprint(codebooks)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_language_id, op3_exact_dedup, op4_url_filter, op5_decontamination, op6_suffix_dedup, op7_secret_scan,
         op8_html_extraction, op9_source_mixing, op10_substring_dedup, op11_fill_in_middle, op12_byte_bpe,
+        op13_vector_codes,
     )
 }
 
