@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from labelspark import fixed
 from labelspark.operators.rules import seed_missing, seeded_rules
 from labelspark.plans.judging_queries import RULE_SETS, _cache, _catalog
 from labelspark.plans.views import table, view, with_views
+from labelspark.session import ensure_checkpoint_dir
 from labelspark.sources import readers, sinks
 from labelspark.streaming.limiter import limit_attempts
 from labelspark.streaming.streams import daily_counts, stream_catalog_enrich
@@ -48,7 +51,32 @@ def _seeds(spark, sf_dir):
     return seed_missing(stored, seeds).select("rule_set_id", "rule_id", "required_declaration")
 
 
+def _document_folder(spark, sf_dir):
+    """The parts as catalog documents over several lines each, some of them cut off in a name, as text
+    files in the shared folder."""
+    part = table(spark, sf_dir, "part")
+    product = F.struct(
+        F.concat(F.col("p_name"), F.lit(' {"} ')).alias("product_name"), F.col("p_brand").alias("brands"), F.col("p_type").alias("categories"),
+        F.concat("p_size", F.lit(" g")).alias("quantity"),
+    )
+    document = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("code"), (F.col("p_partkey") % 7 != 3).cast("int").alias("status"), product.alias("product")), {"pretty": "true"})
+    torn = F.left(document, F.instr(document, F.col("p_name")) + 1)
+    folder = f"{ensure_checkpoint_dir(spark)}/documents-{uuid.uuid4().hex}"
+    part.select(F.when(F.col("p_partkey") % 50 == 0, torn).otherwise(document).alias("value")).write.text(folder)
+    return folder
+
+
+def _documents(spark, sf_dir):
+    return readers.read_catalog_json(spark, _document_folder(spark, sf_dir)).select("barcode", "name", "brand", "category", "quantity_value", "quantity_unit")
+
+
+def _document_rejects(spark, sf_dir):
+    return readers.read_catalog_rejects(spark, _document_folder(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("documents"))
+
+
 QUERIES = {
+    "catalog_documents": _documents,
+    "catalog_document_rejects": _document_rejects,
     "limit_attempts_day": _limited(5, 86_400),
     "limit_logins": _limited(fixed.LOGIN_LIMIT, fixed.LIMIT_WINDOW_SECONDS),
     "daily_scan_counts": _daily,
@@ -76,6 +104,9 @@ def _limit_sql(limit: int, seconds: int) -> str:
 
 
 ORACLE = {
+    "catalog_documents": """SELECT CAST(p_partkey AS VARCHAR) AS barcode, p_name || ' {"} ' AS name, p_brand AS brand, p_type AS category,
+        p_size::DOUBLE AS quantity_value, 'g' AS quantity_unit FROM part WHERE p_partkey % 50 <> 0 AND p_partkey % 7 <> 3""",
+    "catalog_document_rejects": "SELECT 'cut off' AS reason, count(*) AS documents FROM part WHERE p_partkey % 50 = 0 HAVING count(*) > 0",
     "daily_scan_counts": with_views(
         "scans", "SELECT CAST(created_at AS DATE) AS day, overall_status, count(*) AS scans FROM v_scans GROUP BY ALL"
     ),

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from labelspark import fixed, schemas
 from labelspark.operators.catalog import company_records, grocery_records, item_records
+from labelspark.operators.documents import numbered_lines, parsed
 from labelspark.operators.lines import clean_lines
 
 
@@ -34,17 +35,17 @@ def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
 
 
 def read_catalog_json(spark: SparkSession, path: str) -> DataFrame:
-    """Grocery catalog documents; a cut-off document is kept as corrupt and is a miss."""
-    raw = (
-        spark.read.schema(schemas.CATALOG_DOCUMENT)
-        .option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
-    )
-    return grocery_records(raw)
+    """Grocery catalog documents, one or many to a file, of any size; a cut-off document is a miss."""
+    return grocery_records(parsed(numbered_lines(spark, path), schemas.CATALOG_DOCUMENT)[0])
 
 
 def read_catalog_items(spark: SparkSession, path: str) -> DataFrame:
-    return item_records(spark.read.schema(schemas.CATALOG_ITEMS).option("multiLine", True).json(path))
+    return item_records(parsed(numbered_lines(spark, path), schemas.CATALOG_ITEMS)[0])
+
+
+def read_catalog_rejects(spark: SparkSession, path: str, schema: T.StructType = schemas.CATALOG_DOCUMENT) -> DataFrame:
+    """Documents that the catalog readers pass over: file, at, chars, reason."""
+    return parsed(numbered_lines(spark, path), schema)[1]
 
 
 def read_company_pages(spark: SparkSession, path: str, patterns: list[str] | None = None) -> DataFrame:
