@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+RUN_ROWS = 4096
+
+
 def admit(times: list[int], now: int, limit: int, window: int) -> bool:
     """Purge what is not newer than now - window, then admit below the limit. Microseconds."""
     times[:] = [t for t in times if t > now - window]
@@ -24,36 +27,51 @@ def admit(times: list[int], now: int, limit: int, window: int) -> bool:
     return True
 
 
-def _segments(attempts: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Adds `segment`: runs of consecutive non-empty windows of a key.
+def _segments(attempts: DataFrame, key: str, ts: str, seconds: int, limit: int, run_rows: int) -> DataFrame:
+    """Adds `segment` and `warm`: runs of a key that can be decided apart from each other.
 
-    After an empty window no earlier attempt can count any more, so runs are independent and a
-    busy key falls apart into as many tasks as it has pauses. Runs are numbered over one row per
-    (key, window), which the calendar bounds.
+    Time is cut into windows. What counts at the end of a window lies within it, and is known in two
+    cases without what came before: an empty window leaves nothing; and where a window and the one
+    before it hold at most `limit` attempts together, every attempt of the window was accepted. A run
+    begins after every empty window, and at the first window of the second kind in every `run_rows`
+    attempts; there it gets the attempts of the window before it once more, marked `warm`, as accepted
+    ones. A key that is over the limit in every pair of windows stays one run. Runs are numbered over
+    one row per (key, window), which the calendar bounds.
     """
     slotted = attempts.withColumn("slot", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000)))
     order = Window.partitionBy(key).orderBy("slot")
-    starts = F.when(F.col("slot") - F.lag("slot").over(order) == 1, 0).otherwise(1)
+    apart = F.coalesce(F.col("slot") - F.lag("slot").over(order) != 1, F.lit(True))
+    counted = (
+        slotted.groupBy(key, "slot").agg(F.count(F.lit(1)).alias("n")).withColumn("apart", apart)
+        # All of a window accepted: it and the one before it hold at most `limit`.
+        .withColumn("accepted", F.col("n") + F.when(F.col("apart"), 0).otherwise(F.lag("n").over(order)) <= limit)
+        .withColumn("stretch", F.floor((F.sum("n").over(order) - F.col("n")) / run_rows))
+        .withColumn("known", ~F.col("apart") & F.lag("accepted").over(order))
+    )
+    first = F.row_number().over(Window.partitionBy(key, "stretch", "known").orderBy("slot")) == 1
     slots = (
-        slotted.select(key, "slot").distinct()
-        .withColumn("start", starts)
-        .withColumn("segment", F.sum("start").over(order))
-        .drop("start")
+        counted.withColumn("warmed", F.col("known") & first)
+        .withColumn("segment", F.sum((F.col("apart") | F.col("warmed")).cast("long")).over(order))
+        .withColumn("next", F.when(F.lead("warmed").over(order), F.lead("segment").over(order)))
+        .select(key, "slot", F.filter(F.array(
+            F.struct("segment", F.lit(False).alias("warm")), F.struct(F.col("next").alias("segment"), F.lit(True).alias("warm")),
+        ), lambda x: x["segment"].isNotNull()).alias("runs"))
     )
-    return slotted.join(slots, [key, "slot"]).drop("slot")
+    return slotted.join(slots, [key, "slot"]).select(*attempts.columns, F.inline("runs"))
 
 
 def limit_attempts(
-    attempts: DataFrame, limit: int, seconds: int, key: str = "key_id", ts: str = "ts", event: str = "event_id"
+    attempts: DataFrame, limit: int, seconds: int, key: str = "key_id", ts: str = "ts", event: str = "event_id", run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """Batch form: every attempt with `accepted`.
 
     Attempts stream through sorted partitions; only the at most `limit` accepted times of the
-    current run are held, never a whole key.
+    current run are held, never a whole key. `run_rows` is about how many attempts of a busy key are
+    decided in one run where its rate allows a cut.
     """
     window = seconds * 1_000_000
-    rows = _segments(attempts, key, ts, seconds).select(
-        key, event, "segment", F.unix_micros(F.col(ts).cast("timestamp")).alias("micros")
+    rows = _segments(attempts, key, ts, seconds, limit, run_rows).select(
+        key, event, "segment", "warm", F.unix_micros(F.col(ts).cast("timestamp")).alias("micros")
     )
     sorted_rows = rows.repartition(key, "segment").sortWithinPartitions(key, "segment", "micros", event)
     schema = T.StructType(
@@ -64,11 +82,14 @@ def limit_attempts(
         current, times = None, []
         for batch in batches:
             accepted = []
-            for name, segment, now in zip(batch[key], batch["segment"], batch["micros"], strict=True):
+            for name, segment, warm, now in zip(batch[key], batch["segment"], batch["warm"], batch["micros"], strict=True):
                 if (name, segment) != current:
                     current, times = (name, segment), []
-                accepted.append(admit(times, now, limit, window))
-            yield pd.DataFrame({key: batch[key], event: batch[event], "accepted": accepted})
+                if warm:
+                    times.append(now)
+                accepted.append(warm or admit(times, now, limit, window))
+            decided = pd.DataFrame({key: batch[key], event: batch[event], "accepted": accepted})
+            yield decided[~batch["warm"]]
 
     return sorted_rows.mapInPandas(run, schema)
 

@@ -80,6 +80,27 @@ def test_limiter_batch(spark):
     assert got == plain_limit(rows, 5, 100) and set(got.values()) == {True, False}
 
 
+@pytest.mark.parametrize(("limit", "span", "run_rows"), [(5, 4000, 1), (5, 4000, 7), (12, 9000, 20), (1, 40_000, 3), (40, 2000, 5), (3, 300, 2)])
+def test_limiter_cuts_busy_keys(spark, limit, span, run_rows):
+    """Runs that begin where the state is known give the loop's answers, at any rate and run length."""
+    rng = random.Random(limit * span)
+    rows = sorted((rng.choice([0, 0, 1, 2]), rng.choice([rng.randint(0, span), rng.randint(0, span) // 100 * 100]), i) for i in range(500))
+    df = spark.createDataFrame(rows, "key_id int, s long, event_id int").withColumn("ts", F.timestamp_seconds("s"))
+    got = [(r.event_id, r.accepted) for r in G.limit_attempts(df, limit, 100, run_rows=run_rows).collect()]
+    assert len(got) == len(rows) and dict(got) == plain_limit(rows, limit, 100)
+
+
+def test_limiter_spreads_a_key_without_pause(spark):
+    """A third of all attempts under one key, never a window empty, below the limit: many runs, few rows twice."""
+    rows = [(0, 20 * i, i) for i in range(3000)] + [(k, 997 * k, 3000 + k) for k in range(1, 6000)]
+    df = spark.createDataFrame(rows, "key_id int, s long, event_id int").withColumn("ts", F.timestamp_seconds("s"))
+    runs = G._segments(df, "key_id", "ts", 100, 10, 200).filter("key_id = 0").groupBy("segment").agg(F.count("*").alias("n"), F.count_if("warm").alias("warm"))
+    sizes = runs.collect()
+    assert len(sizes) >= 14 and max(r.n for r in sizes) <= 220 and sum(r.warm for r in sizes) <= 10 * len(sizes)
+    got = {r.event_id: r.accepted for r in G.limit_attempts(df, 10, 100, run_rows=200).collect()}
+    assert got == plain_limit(rows, 10, 100)
+
+
 def run_stream(stream, mode, name, checkpoint):
     q = (
         stream.writeStream.format("memory").queryName(name).outputMode(mode)
