@@ -75,22 +75,26 @@ def _half_overlap_sums(counted: DataFrame) -> DataFrame:
     """Per distinct candidate: how many candidates agree in text and box, and in confidence too.
 
     Two boxes with IoU >= 1/2 differ in width at most by a factor of two and in x at most by half
-    the wider one. So each box enters the grid of its own width class and of the next one, and
-    looks one cell to either side.
+    the wider one, and likewise in height and y. So each box enters the grid of its own width and
+    height class and of the next ones, and looks one cell to every side: boxes meet in a cell of
+    place and size, wherever on the panel and however many they are.
     """
-    level = F.length(F.bin(F.floor("w").cast("long"))) - 1
-    usable = counted.filter("w > 0 AND h > 0").withColumn("own_level", level)
-    graded = usable.withColumn(
-        "level", F.explode(F.array(F.col("own_level"), F.col("own_level") + 1))
-    ).withColumn("cell", F.floor(F.col("x") / F.pow(F.lit(2.0), F.col("level"))))
-    left = graded.withColumn("cell", F.explode(F.array(*[F.col("cell") + d for d in (-1, 0, 1)])))
+    level = lambda size: F.length(F.bin(F.floor(size).cast("long"))) - 1
+    usable = counted.filter("w > 0 AND h > 0").withColumns({"own_w": level("w"), "own_h": level("h")})
+    cell = lambda at, size: F.floor(F.col(at) / F.pow(F.lit(2.0), size))
+    graded = usable.withColumn("level", F.explode(F.array(*[
+        F.struct((F.col("own_w") + dw).alias("w"), (F.col("own_h") + dh).alias("h")) for dw in (0, 1) for dh in (0, 1)
+    ]))).withColumn("cell", F.struct(cell("x", F.col("level.w")).alias("x"), cell("y", F.col("level.h")).alias("y")))
+    left = graded.withColumn("cell", F.explode(F.array(*[
+        F.struct((F.col("cell.x") + dx).alias("x"), (F.col("cell.y") + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)
+    ])))
     place = [*_KEY, "text_key", "level", "cell"]
     right = graded.select(
-        *place, *[F.col(c).alias(f"r_{c}") for c in ("x", "y", "w", "h", "confidence", "n", "own_level")]
+        *place, *[F.col(c).alias(f"r_{c}") for c in ("x", "y", "w", "h", "confidence", "n", "own_w", "own_h")]
     )
     box = lambda prefix: F.struct(*[F.col(prefix + c).alias(c) for c in ("x", "y", "w", "h")])
     meets = (
-        (F.col("level") == F.greatest("own_level", "r_own_level"))
+        (F.col("level.w") == F.greatest("own_w", "r_own_w")) & (F.col("level.h") == F.greatest("own_h", "r_own_h"))
         & (iou(box(""), box("r_")) >= fixed.IOU_AGREE)
     )
     similar = confidence_similar(F.col("confidence"), F.col("r_confidence"))

@@ -69,6 +69,18 @@ def test_ensemble_hot_scan(spark):
     assert (hot.status, hot.candidates, hot.agreed_pairs) == ("agreed", m, m * (m - 1) // 2)
 
 
+def test_ensemble_many_boxes_in_one_column(spark):
+    """50,000 different boxes with one text below each other: they meet in cells of place and size only."""
+    n = 50_000
+    lines = spark.range(n).selectExpr(
+        "'one' AS scan_id", "'front' AS panel", "id AS line_no", "'MRP Rs 5' AS text", "0.8D AS confidence",
+        "named_struct('x', 3.0D, 'y', 5.0D * id, 'w', 50.0D, 'h', 20.0D) AS bbox", "'t' AS source_provider", "'v' AS preprocessing_variant",
+    )
+    sums = E._half_overlap_sums(E._counted(E.field_candidates(lines, ["mrp"]))).groupBy("near", "agreeing").count().collect()
+    # Each box meets itself, the one above and the one below (IoU 15/25), not the next (10/30).
+    assert {(r.near, r.agreeing): r["count"] for r in sums} == {(3, 3): n - 2, (2, 2): 2}
+
+
 def test_fusion(spark):
     q = lambda v, u: typed_value(value=F.lit(v), unit=F.lit(u))
     none = F.lit(None).cast(spark.range(1).select(q(1.0, "g").alias("v")).schema["v"].dataType)

@@ -9,6 +9,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelspark.operators import lists as Q
 from labelspark.operators import quality as V
@@ -164,6 +165,41 @@ def test_compliance_stream(spark, make_lines, tmp_path):
     assert {(r.scan_id, r.amount) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 5.0), ("b", 7.0)}
 
 
+@pytest.mark.parametrize(("seed", "announced"), [(1, 0.0), (2, 0.5)])
+def test_scans_in_pieces(spark, make_lines, tmp_path, seed, announced):
+    """Lines of a scan spread over micro-batches in any way give the verdicts of the batch job."""
+    from labelspark.operators.extraction import extract_fields
+
+    rng = random.Random(seed)
+    texts = ["MRP Rs. {}", "Net Qty {} g", "Mfd by: Acme Foods {}", "plain {}", "EXP 05/2026"]
+    scans = {f"s{k}": [(rng.choice(texts).format(rng.randint(1, 99)), 0.9, rng.choice(["front", "back"])) for _ in range(rng.randint(1, 7))] for k in range(12)}
+    lines = make_lines(scans)
+    count = {k: len(v) for k, v in scans.items()}
+    batches = 4
+    at = {(r.scan_id, r.line_no): rng.randrange(batches) for r in lines.collect()}
+    for b in range(batches + 1):
+        rows = [
+            (*r, datetime(2024, 1, 1, b, rng.randint(0, 50)), count[r.scan_id] if rng.random() < announced else None)
+            for r in lines.collect() if at[r.scan_id, r.line_no] == b
+        ]
+        if b == batches:  # a last scan, much later, lets the watermark pass
+            rows = [(*make_lines({"z": ["MRP Rs. 1"]}).first(), datetime(2024, 1, 2), 1)]
+        extra = T.StructType.fromDDL("arrived_at timestamp, scan_lines int")
+        part = spark.createDataFrame(rows, T.StructType([*lines.schema.fields, *extra.fields]))
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"p={b}"))
+    stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "p=*"))
+    fields = ["mrp", "net_quantity", "manufacturer", "expiry_date"]
+    judge = lambda df: extract_fields(df, fields).select("scan_id", *[F.to_json(f"{f}.value").alias(f) for f in fields])
+    q = S.stream_scan_verdicts(stream, judge, str(tmp_path / "out"), str(tmp_path / "cp"), 1800).trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    newest = S.newest_verdicts(spark, str(tmp_path / "out")).filter("scan_id <> 'z'")
+    assert sorted(newest.drop("version").collect()) == sorted(judge(lines).collect())
+    # Only scans in more than one piece are judged again, and some are.
+    spread = {k for k in scans if len({at[k, i] for i in range(count[k])}) > 1}
+    again = {r.scan_id for r in newest.filter("version > 1").collect()}
+    assert again <= spread and (announced or again)
+
+
 def test_pixel_stats(spark):
     rng = np.random.default_rng(2)
     image = rng.integers(0, 255, (6, 5)).astype(float)
