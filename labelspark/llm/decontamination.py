@@ -26,10 +26,10 @@ def _typed(text: Column) -> Column:
     """The text with every number, name and unit replaced by one placeholder letter.
 
     A number is a run of digits with inner points and commas; a unit is a unit word right after a
-    number; a name is a capitalised word after a small letter or comma and one blank, so not at the
+    number; a name is a capitalised word after a small letter or comma and white space, so not at the
     start of a sentence.
     """
-    bare = F.regexp_replace(text, f"[{NAME}{NUMBER}{UNIT}]", " ")
+    bare = F.regexp_replace(text, rf"[\s\p{{Z}}{NAME}{NUMBER}{UNIT}]+", " ")
     named = F.regexp_replace(bare, r"(?<=[\p{Ll},] )\p{Lu}\p{Ll}+(?![\p{L}\p{M}])", NAME)
     numbered = F.regexp_replace(named, _NUM, f" {NUMBER} ")
     return F.lower(F.regexp_replace(numbered, rf"(?i)(?<={NUMBER}  ?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", UNIT))
@@ -59,17 +59,30 @@ def _sizes(windows: DataFrame) -> list[int]:
     return sorted(r["k"] for r in windows.select("k").distinct().collect())
 
 
-def _verbatim(texts: DataFrame, items: DataFrame, window: int) -> DataFrame | None:
-    """Items found by their own words, all in a row; the columns of find_leaks(). None without items."""
-    exact = lambda text: F.transform(originals(text), F.lower)
-    windows = staged(_windows(items, "item_id", exact(F.col("text")), F.least(F.size("w"), F.lit(window))).select("item_id", F.col("pos").alias("item_pos"), "k", "h"), "item-words")
-    if not (sizes := _sizes(windows)):
-        return None
-    totals = windows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    own = _windows(texts.filter("doc_id is not null"), "doc_id", exact(F.col("text")), F.explode(F.array(*map(F.lit, sizes)))).select("doc_id", "pos", "k", "h")
-    placed = own.join(windows, ["h", "k"]).select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("at")).distinct()
-    whole = placed.groupBy("doc_id", "item_id", "at").agg(F.count(F.lit(1)).alias("n_matched")).join(totals, "item_id").filter("n_matched = n_windows")
-    return whole.select("doc_id", "item_id", "n_windows", "n_matched", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("consistency")).distinct()
+def _verbatim(texts: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """Items found by their own words and numbers, all in a row, in any case and whatever stands between
+    them; the columns of find_leaks().
+
+    Of each item only the window that fewest items share is looked up, so that a phrase common to many
+    items brings no pairs; where it is found, all words of the item are compared.
+    """
+    words = lambda text: F.transform(originals(text), F.lower)
+    windows = _windows(items, "item_id", words(F.col("text")), F.least(F.size("w"), F.lit(window))).select("item_id", F.col("pos").alias("item_pos"), "k", "h")
+    shared = windows.groupBy("h", "k").agg(F.countDistinct("item_id").alias("items"))
+    rarest = windows.join(shared, ["h", "k"]).groupBy("item_id").agg(F.min_by(F.struct("h", "k", "item_pos"), F.struct("items", "item_pos")).alias("r"))
+    anchors = staged(rarest.select("item_id", "r.*"), "anchors")
+    sizes = _sizes(anchors) or [window]
+    own = _windows(texts, "doc_id", words(F.col("text")), F.explode(F.array(*map(F.lit, sizes)))).select("doc_id", "pos", "k", "h")
+    placed = staged(
+        own.join(anchors, ["h", "k"]).select("doc_id", "item_id", "k", (F.col("pos") - F.col("item_pos")).alias("at")).filter("at >= 0").distinct(), "verbatim-candidates"
+    )
+    asked = texts.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("doc_words"))
+    item_words = items.select("item_id", words(F.col("text")).alias("item_words"))
+    same = F.slice("doc_words", F.col("at") + 1, F.size("item_words")) == F.col("item_words")
+    n = (F.size("item_words") - F.col("k") + 1).cast("long")
+    return placed.join(asked, "doc_id").join(item_words, "item_id").filter(same).select(
+        "doc_id", "item_id", n.alias("n_windows"), n.alias("n_matched"), F.lit(1.0).alias("coverage"), F.lit(1.0).alias("consistency")
+    ).distinct()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -86,11 +99,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     without placeholders has consistency 1.
 
     A window of an item with fewer than LITERALS words besides placeholders says nothing about its
-    wording and is not counted; an item with such windows only, as one of mere numbers, is found by its own
-    words and numbers instead, all in a row, in any case, whatever signs stand between them. An item shorter than the window is
-    one window of its own length. Null and empty texts contain nothing and items without words are never found. Documents
-    repeated under one id count as one; of items repeated under one id one is
-    taken. Other columns are not read.
+    wording and is not counted. Every item, also one with such windows only, is found by its own words
+    and numbers as well, all in a row, in any case, whatever white space and signs stand between them:
+    such a copy has coverage and consistency 1. An item shorter than the window is one window of its
+    own length.
+
+    Null and empty texts contain nothing and items without words are never found. Documents repeated
+    under one id count as one; documents without an id are not looked at (drop_leaks() looks at them); of
+    items repeated under one id one is taken. Texts of any length are taken whole, a row for each
+    window. Other columns, whatever their names, are not read. Empty tables give an empty result.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), no_null_text(item_text_col).alias("text")).dropDuplicates(["item_id"])
     literal = F.size(F.filter("cut", lambda w: ~w.isin(NAME, NUMBER, UNIT)))
@@ -100,7 +117,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         "item-windows",
     )
     totals = item_windows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), no_null_text(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), no_null_text(text_col).alias("text")).filter("doc_id is not null")
     sizes = _sizes(item_windows) or [window]
     size = F.lit(sizes[0]) if len(sizes) == 1 else F.explode(F.array(*map(F.lit, sizes)))
     hits = _windows(texts, "doc_id", template(F.col("text")), size).drop("cut").join(item_windows, ["h", "k"])
@@ -145,11 +162,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         )
         .filter(F.col("consistency") >= consistency)
     )
-    verbatim = _verbatim(texts, items.join(totals, "item_id", "left_anti"), window)
-    return found if verbatim is None else found.unionByName(verbatim)
+    found = staged(found, "template-leaks")
+    return found.unionByName(_verbatim(texts, items, window).join(found.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` without the documents that contain a benchmark item; columns as they were."""
-    found = staged(find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(found.hint("merge"), docs[id_col] == found["_leak"], "left_anti")
+    """`docs` without the documents that contain a benchmark item; columns as they were. Documents
+    without an id are told apart by their texts; those repeated under one id go or stay together."""
+    key = "leak_key" + "_" * max(len(c) for c in docs.columns)
+    own = F.coalesce(F.concat(F.lit("id:"), F.col(id_col).cast("string")), F.concat(F.lit("text:"), F.sha2(no_null_text(text_col).cast("binary"), 256)))
+    keyed = docs.withColumn(key, own)
+    found = staged(find_leaks(keyed, benchmark, key, text_col, **options).select(F.col("doc_id").alias(key)).distinct(), "leaks")
+    return keyed.join(found.hint("merge"), key, "left_anti").select(*[keyed[c] for c in docs.columns])

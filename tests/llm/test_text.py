@@ -252,6 +252,37 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(docs.limit(0), items).count() == 0 and decontamination.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_ignores_case_and_white_space(spark):
+    """A verbatim copy is found whatever its case and white space; so is one with new names and numbers."""
+    named = "Then Alice met Bob and Carol near Paris, while David told Erin that Frank had 12 apples and Grace had 30 pears for Heidi today"
+    other = "A train with 9 cars and a ship with 40 rooms leave the harbour at noon for Ivan and Judy who both wait"
+    filler = " nothing of note happened in this part of the long story about the hills "
+    ways = [
+        lambda t: t, str.upper, str.lower, lambda t: t.replace(" ", "  "), lambda t: t.replace(" ", "\n"), lambda t: t.replace(" ", " \t\u00a0"),
+        lambda t: t.upper().replace(" ", "\r\n"), lambda t: t.replace(" ", ", "), lambda t: t.title(),
+    ]
+    rows = [(10 * i + k, filler + way(t) + filler) for i, t in enumerate((named, other, ITEM)) for k, way in enumerate(ways)]
+    again = ITEM.replace("John", "Peter").replace("Mary", "Anna").replace("12", "70").replace("3.5", "8")
+    rows += [(100 + k, filler + again.replace(" ", blank)) for k, blank in enumerate((" ", "  ", "\n", " \n "))]
+    rows += [(200, filler * 40), (None, filler + named.upper()), (None, filler), (None, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(0, named), (1, other), (2, ITEM)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, items).collect()}
+    assert got == {(10 * i + k, i) for i in range(3) for k in range(len(ways))} | {(100 + k, 2) for k in range(4)}
+    kept = decontamination.drop_leaks(docs, items).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None) == [(200, filler * 40)]
+    assert sorted(str(r.text) for r in kept if r.doc_id is None) == sorted([filler, "None"])
+
+
+def test_decontamination_phrase_of_all_items(spark):
+    """Items that begin alike are told apart by the windows they do not share."""
+    ask = [f"what is the value of the thing called number {w} {w}{w} in the list" for w in ("aa", "bb", "cc", "dd")]
+    docs = spark.createDataFrame([(i, "so " + t.upper() + " then") for i, t in enumerate(ask)] + [(9, "what is the value of the thing called number")], "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(ask)), "item_id long, text string")
+    found = decontamination._verbatim(docs, items, 5)
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, i) for i in range(4)]
+
+
 def test_decontamination_short_and_numeric_items(spark):
     filler = "some other words that say nothing about it and go on for a while. "
     asked = ["12 + 45 * 3 - 8 = ?", "Who wrote Hamlet?", "7 14 21 28 35 42 49 56", "3 + 4", ITEM]
