@@ -7,7 +7,7 @@ import base64
 import functools
 import heapq
 import json
-import zlib
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -16,20 +16,21 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.llm import arrays
 from labelspark.llm.common import no_null_text
 
-BUCKETS = 16384  # of the literal rank map: a Spark map is searched entry by entry, so each is kept small
+BUCKETS = 1 << 14  # of the literal rank map: a Spark map is searched entry by entry, so each is kept small
 PLACES = 1 << 20  # a rank and a place in a word as one number
 LONG_BYTES = 256  # a step of the fold looks at the whole word; longer words are merged with a heap
 BLOCK_CHUNKS = 600_000  # a block of documents ends at so many different chunks
 BLOCK_CODES = 16_000_000  # or at so many chunks in all
 LONG_CHARS = 1 << 20  # chunks of longer texts are not listed all at once
 #: White space and what follows it: no match of the tokenizers' pattern goes beyond.
-CHUNK = r"\s*+\S+|\s+"
+CHUNK = r"[^\S\x1c-\x1f]*+[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+"  # Python's white space and that of Unicode differ in \x1c to \x1f
 SLICE_CODES = 1_000_000  # chunks turned into ids at a time
 
 
@@ -88,7 +89,7 @@ def word_ids(ranks: dict[bytes, int]):
         for cut in range(1, len(piece)):
             if (a := ranks.get(piece[:cut])) is not None and (b := ranks.get(piece[cut:])) is not None:
                 key = _char(a) + _char(b)
-                pairs[zlib.crc32(key.encode()) % BUCKETS][key] = rank * PLACES
+                pairs[xxhash.xxh64_intdigest(key.encode(), 42) % BUCKETS][key] = rank * PLACES  # the seed of xxhash64
     pair_map = F.from_json(F.lit(json.dumps(pairs)), "array<map<string,bigint>>")
     chars = F.from_json(F.lit(json.dumps([_char(r) for r in range(max(ranks.values()) + 1)])), "array<string>")
 
@@ -96,7 +97,7 @@ def word_ids(ranks: dict[bytes, int]):
         """Rank and place of the pair to join; null if there is none."""
         def rank(at: Column) -> Column:
             pair = F.substring(pieces, at, F.lit(2))
-            return F.try_element_at(F.get(pair_map, F.pmod(F.crc32(pair.cast("binary")), F.lit(BUCKETS)).cast("int")), pair) + at
+            return F.try_element_at(F.get(pair_map, F.xxhash64(pair).bitwiseAND(BUCKETS - 1).cast("int")), pair) + at
 
         return F.array_min(F.transform(F.sequence(F.lit(1), F.length(pieces) - 1), rank))
 
@@ -120,17 +121,17 @@ def _as_ranks(chars: str) -> np.ndarray:
     return points - np.where(points < 0xD800, 256, 0x900).astype(np.int32)
 
 
-_BLOCK = "count array<int>, codes binary, words_in binary, word_codes binary, words array<string>, known_codes array<int>, known array<array<int>>"
+_BLOCK = "count array<int>, codes binary, words_in binary, word_codes binary, known_codes array<int>, known array<array<int>>, words array<string>"
 
 
-def _blocks(pattern: str, chunk: str, ranks: dict[bytes, int], other: dict[bytes, int]):
+def _blocks(pattern: str, chunk: str, ranks: dict[bytes, int], other: dict[str, int]):
     """Documents to blocks that share their different words: per block the documents' chunks as codes,
     the chunks' words as codes, and the words; those too long for the fold, or with a rank that no
     merge leads to (`other`), come with their ranks."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, cut = regex.compile(pattern), regex.compile(chunk)
-        first = {b: _char(ranks[bytes([b])]) for b in range(256)}
+        find, cut = regex.compile(pattern), re.compile(chunk)
+        first = np.array([ord(_char(ranks[bytes([b])])) for b in range(256)], np.uint32)
 
         def numbered() -> defaultdict:
             found = defaultdict()
@@ -145,21 +146,25 @@ def _blocks(pattern: str, chunk: str, ranks: dict[bytes, int], other: dict[bytes
                 found = find.findall(c)
                 in_chunk.append(len(found))
                 flat.extend(map(words.__getitem__, found))
-            known = {}
-            for code, word in enumerate(words):
-                if len(word) * 4 > LONG_BYTES or other:
-                    piece = word.encode()
-                    if piece in other:
-                        known[code] = [other[piece]]
-                    elif len(piece) > LONG_BYTES:
-                        known[code] = merged(piece, ranks)
-            plain = ["" if code in known else w.encode().decode("latin-1").translate(first) for code, w in enumerate(words)]
-            cells = [count, codes.tobytes(), in_chunk.tobytes(), flat.tobytes(), plain, list(known), list(known.values())]
-            kinds = [pa.list_(pa.int32()), *[pa.binary()] * 3, pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
+            chunks.clear()
+            data, ends = arrays.text_buffer(pa.array(list(words), pa.large_string()))
+            length = np.diff(ends)
+            known = {code: merged(data[ends[code] : ends[code + 1]].tobytes(), ranks) for code in np.flatnonzero(length > LONG_BYTES).tolist()}
+            known |= {words[word]: [rank] for word, rank in other.items() if word in words}
+            words.clear()
+            # Each byte as the character of its rank; nothing of the words whose ranks are known.
+            length[list(known)] = 0
+            points = first[data[arrays.ranges(ends[:-1], length)]]
+            width = np.concatenate([[0], np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))])
+            at = width[np.concatenate([[0], np.cumsum(length)])]
+            folded = pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(at), pa.py_buffer(points.tobytes().decode("utf-32-le").encode()))
+            plain = pa.LargeListArray.from_arrays(pa.array([0, len(folded)], pa.int64()), folded).cast(pa.list_(pa.string()))
+            cells = [count, codes.tobytes(), in_chunk.tobytes(), flat.tobytes(), list(known), list(known.values())]
+            kinds = [pa.list_(pa.int32()), *[pa.binary()] * 3, pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
             doc_ids = pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type))
             return pa.RecordBatch.from_arrays(
-                [doc_ids, *(pa.array([x], t) for x, t in zip(cells, kinds, strict=True))],
-                names=["doc_id", "count", "codes", "words_in", "word_codes", "words", "known_codes", "known"],
+                [doc_ids, *(pa.array([x], t) for x, t in zip(cells, kinds, strict=True)), plain],
+                names=["doc_id", "count", "codes", "words_in", "word_codes", "known_codes", "known", "words"],
             )
 
         for batch in rows:
@@ -190,7 +195,7 @@ def _assembled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             binary = {name: np.frombuffer(cell[name].as_py(), np.int32) for name in ("codes", "words_in", "word_codes")}
             pieces = cell["words"].values
             length = pc.utf8_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = _as_ranks("".join(pieces.to_pylist()))
+            flat = _as_ranks(arrays.text_buffer(pieces)[0].tobytes().decode())
             start = np.cumsum(length) - length
             known = cell["known"].as_py()
             if known:
@@ -210,12 +215,14 @@ def _assembled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while low < len(count):
                 high = max(low + 1, int(np.searchsorted(ends, ends[low] - count[low] + SLICE_CODES, "right")))
                 codes = binary["codes"][ends[low] - count[low] : ends[high - 1]]
-                ids = flat[arrays.ranges(start[codes], length[codes])]
+                ids = flat[arrays.ranges(start[codes], length[codes])].astype("<i4")
                 tokens = np.concatenate([[0], np.cumsum(length[codes])])
                 offsets = tokens[np.concatenate([[0], ends[low:high] - (ends[low] - count[low])])]
+                # The same bytes as a binary cell for each document.
+                shard = pa.LargeBinaryArray.from_buffers(pa.large_binary(), high - low, [None, pa.py_buffer(4 * offsets), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [cell["doc_id"].values.slice(low, high - low), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))],
-                    names=["doc_id", "n_tokens", "ids"],
+                    [cell["doc_id"].values.slice(low, high - low), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), shard],
+                    names=["doc_id", "n_tokens", "ids", "shard"],
                 )
                 low = high
 
@@ -223,8 +230,8 @@ def _assembled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(
     docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = public_tokenizers.PATTERN, chunk: str = CHUNK,
 ) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_tokens, ids (array<int>), by the ranks in the file
-    `ranks_path`, which the driver reads; each match of `pattern` is encoded separately and what it
+    """One row per row of `docs`: doc_id, n_tokens, ids (array<int>) and shard (the ids as unsigned
+    32-bit integers, lowest byte first, as token files hold them), by the ranks in the file `ranks_path`, which the driver reads; each match of `pattern` is encoded separately and what it
     leaves out is dropped. No special tokens.
 
     Documents become blocks that share their different words, and each word of a block is folded once;
@@ -235,29 +242,21 @@ def encode(
     a heap, to the same ids. Other columns are not read. An empty table gives an empty result.
     """
     ranks = read_ranks(ranks_path)
-    other = {piece: rank for piece, rank in ranks.items() if len(piece) > 1 and merged(piece, ranks) != [rank]}
+    unled = {piece: rank for piece, rank in ranks.items() if len(piece) > 1 and merged(piece, ranks) != [rank]}
+    # A word is whole characters, so tokens of parts of some are none.
+    other = {word: rank for piece, rank in unled.items() if (word := piece.decode(errors="ignore")).encode() == piece}
     rows = docs.select(F.col(id_col).alias("doc_id"), no_null_text(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     blocks = rows.mapInArrow(_blocks(pattern, chunk, ranks, other), f"doc_id array<{kind}>, {_BLOCK}")
-    return blocks.withColumn("words", F.transform("words", word_ids(ranks))).mapInArrow(_assembled, f"doc_id {kind}, n_tokens long, ids array<int>")
-
-
-def _by_id(ranks: dict[bytes, int], value) -> Column:
-    """value(token bytes, id) as a literal array; null where no token has the id."""
-    values: list[str | None] = [None] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        values[rank] = value(piece, rank)
-    return F.from_json(F.lit(json.dumps(values)), "array<string>")
+    return blocks.withColumn("words", F.transform("words", word_ids(ranks))).mapInArrow(_assembled, f"doc_id {kind}, n_tokens long, ids array<int>, shard binary")
 
 
 def decode(ids: Column | str, ranks_path: str) -> Column:
     """Bytes of the tokens, one after the other: binary. Null if ids are null; an id without a token
     adds nothing."""
-    pieces = _by_id(read_ranks(ranks_path), lambda piece, _: piece.decode("latin-1"))
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
-
-
-def little_endian(ids: Column | str, ranks_path: str) -> Column:
-    """Ids as unsigned 32-bit integers, lowest byte first: binary, as token shards hold them."""
-    words = _by_id(read_ranks(ranks_path), lambda _, rank: rank.to_bytes(4, "little").hex())
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(words, i)), ""))
+    ranks = read_ranks(ranks_path)
+    pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.decode("latin-1")
+    of_id = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(of_id, i)), ""), "ISO-8859-1")

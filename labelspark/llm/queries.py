@@ -115,7 +115,7 @@ def op12_byte_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks)
     return rows.select(
-        "doc_id", "n_tokens", F.sha2(byte_bpe.little_endian("ids", ranks), 256).alias("ids_sha256"),
+        "doc_id", "n_tokens", F.sha2("shard", 256).alias("ids_sha256"),
         F.sha2(byte_bpe.decode("ids", ranks), 256).alias("decoded_sha256"),
     )
 

@@ -82,7 +82,7 @@ def test_bpe_is_the_librarys(spark, sf_dir, library):
     rows += [(10_000 + k, t) for k, t in enumerate(odd)]
     rows += [rows[0], (None, "no id")]
     docs = spark.createDataFrame([(i, t, 0, None, None, None) for i, t in rows], DDL).repartition(3)
-    got = byte_bpe.encode(docs, RANKS).withColumn("bytes", byte_bpe.decode("ids", RANKS)).withColumn("shard", byte_bpe.little_endian("ids", RANKS)).collect()
+    got = byte_bpe.encode(docs, RANKS).withColumn("bytes", byte_bpe.decode("ids", RANKS)).collect()
     want = {i: library.encode_ordinary(t or "") for i, t in rows}
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
     text = dict(rows)
