@@ -66,7 +66,7 @@ def _verbatim(texts: DataFrame, items: DataFrame, window: int) -> DataFrame:
     Of each item only the window that fewest items share is looked up, so that a phrase common to many
     items brings no pairs; where it is found, all words of the item are compared.
     """
-    words = lambda text: F.transform(originals(text), F.lower)
+    words = lambda text: F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), "")
     windows = _windows(items, "item_id", words(F.col("text")), F.least(F.size("w"), F.lit(window))).select("item_id", F.col("pos").alias("item_pos"), "k", "h")
     shared = windows.groupBy("h", "k").agg(F.countDistinct("item_id").alias("items"))
     rarest = windows.join(shared, ["h", "k"]).groupBy("item_id").agg(F.min_by(F.struct("h", "k", "item_pos"), F.struct("items", "item_pos")).alias("r"))
