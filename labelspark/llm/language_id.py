@@ -201,7 +201,8 @@ def gram_bits(levels: dict[int, DataFrame], langs: list[str], discounts: dict[tu
             table = table.join(lower, "shorter")
         below = [F.lit(1 / vocabulary) if lower is None else F.col("lower")[k] for k in size]
         p = [F.coalesce(F.col("seen")[k], F.lit(0.0)) + F.coalesce(F.col("passed")[k], F.lit(1.0)) * below[k] for k in size]
-        lower = table.select(F.col("gram").alias("shorter"), F.array(*p).alias("lower"))
+        # Written order by order, so that the driver plans one order at a time.
+        lower = staged(table.select(F.col("gram").alias("shorter"), F.array(*p).alias("lower")), f"prices-{n}")
     return lower.select(F.col("shorter").alias("gram"), F.transform("lower", lambda p: F.round(-F.log2(p) * BIT).cast("int")).alias("bits"))
 
 
