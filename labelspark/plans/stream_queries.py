@@ -11,7 +11,7 @@ from labelspark.operators.rules import seed_missing, seeded_rules
 from labelspark.plans.judging_queries import RULE_SETS, _cache, _catalog
 from labelspark.plans.views import table, view, with_views
 from labelspark.session import ensure_checkpoint_dir
-from labelspark.sources import readers, sinks
+from labelspark.sources import commits, readers, sinks
 from labelspark.streaming.limiter import limit_attempts
 from labelspark.streaming.streams import daily_counts, stream_catalog_enrich
 
@@ -74,7 +74,45 @@ def _document_rejects(spark, sf_dir):
     return readers.read_catalog_rejects(spark, _document_folder(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("documents"))
 
 
+def _stored_cache(spark, sf_dir):
+    """A stored cache after the answers of every hundredth barcode: only their buckets are written again."""
+    store = commits.KeyedStore(f"{ensure_checkpoint_dir(spark)}/cache-{uuid.uuid4().hex}", "barcode", 64)
+    store.create(_cache(spark, sf_dir).select("barcode", F.col("product.name").alias("name"), F.lit(1).alias("fetched_at")))
+    found = view(spark, sf_dir, "products").filter("product_id % 100 = 0")
+    sinks.upsert_cache(store, found.select(F.col("barcode_code").alias("barcode"), F.col("identity").alias("name"), F.lit(2).alias("fetched_at")))
+    return store.read(spark)
+
+
+def _stored_products(spark, sf_dir):
+    """Stored products after inserting all of them: every second one is there already, under a name of its own."""
+    store = commits.KeyedStore(f"{ensure_checkpoint_dir(spark)}/products-{uuid.uuid4().hex}", "barcode_code", 64)
+    products = view(spark, sf_dir, "products").select("barcode_code", "identity", "brand")
+    store.create(products.filter("barcode_code % 2 = 0").withColumn("identity", F.concat(F.lit("stored "), "identity")))
+    sinks.insert_products(store, products)
+    return store.read(spark)
+
+
+def _committed_results(spark, sf_dir):
+    """Declarations and scans in two batches, the second written twice, a third stopped before its commit."""
+    folder = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    facts = {
+        "scans": view(spark, sf_dir, "scans").select("scan_id", "overall_status"),
+        "declarations": view(spark, sf_dir, "declarations").select("scan_id", "field_name", "verdict"),
+    }
+    for batch, part in (("0", "scan_id % 3 = 0"), ("1", "scan_id % 3 > 0"), ("1", "scan_id % 3 = 1")):
+        sinks.write_scan_results({name: df.filter(part) for name, df in facts.items()}, folder, batch)
+    facts["scans"].filter("scan_id % 3 = 2").write.parquet(f"{folder}/scans/attempt=stopped")
+    scans, declared = (commits.read_batches(spark, folder, name) for name in facts)
+    per_scan = declared.groupBy("scan_id").agg(F.count("*").alias("declarations"))
+    return scans.join(per_scan, "scan_id", "left").groupBy("overall_status").agg(
+        F.count("*").alias("scans"), F.sum("declarations").alias("declarations")
+    )
+
+
 QUERIES = {
+    "stored_product_cache": _stored_cache,
+    "stored_products": _stored_products,
+    "committed_results": _committed_results,
     "catalog_documents": _documents,
     "catalog_document_rejects": _document_rejects,
     "limit_attempts_day": _limited(5, 86_400),
@@ -104,6 +142,22 @@ def _limit_sql(limit: int, seconds: int) -> str:
 
 
 ORACLE = {
+    "stored_product_cache": with_views(
+        "product_cache products",
+        """SELECT barcode_code AS barcode, identity AS name, 2 AS fetched_at FROM v_products WHERE product_id % 100 = 0 UNION ALL
+           SELECT barcode, CASE WHEN found THEN name END, 1 FROM v_product_cache
+           WHERE barcode NOT IN (SELECT barcode_code FROM v_products WHERE product_id % 100 = 0)""",
+    ),
+    "stored_products": with_views(
+        "products",
+        """SELECT barcode_code, CASE WHEN CAST(barcode_code AS BIGINT) % 2 = 0 THEN 'stored ' ELSE '' END || identity AS identity, brand FROM v_products""",
+    ),
+    "committed_results": with_views(
+        "scans declarations",
+        """WITH d AS (SELECT scan_id, count(*) AS n FROM v_declarations GROUP BY scan_id)
+           SELECT overall_status, count(*) AS scans, CAST(sum(n) AS BIGINT) AS declarations FROM v_scans s LEFT JOIN d ON d.scan_id = s.scan_id
+           WHERE s.scan_id % 3 < 2 GROUP BY overall_status""",
+    ),
     "catalog_documents": """SELECT CAST(p_partkey AS VARCHAR) AS barcode, p_name || ' {"} ' AS name, p_brand AS brand, p_type AS category,
         p_size::DOUBLE AS quantity_value, 'g' AS quantity_unit FROM part WHERE p_partkey % 50 <> 0 AND p_partkey % 7 <> 3""",
     "catalog_document_rejects": "SELECT 'cut off' AS reason, count(*) AS documents FROM part WHERE p_partkey % 50 = 0 HAVING count(*) > 0",

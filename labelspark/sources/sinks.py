@@ -1,29 +1,41 @@
-"""Writers: one fact table per folder."""
+"""Writers of results and keyed stores."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from labelspark.operators.catalog import newest_cache
 from labelspark.operators.rules import seed_missing
+from labelspark.sources.commits import KeyedStore, write_batch
 
 
 def write_scan_results(facts: dict[str, DataFrame], folder: str, batch: str) -> None:
-    """Declarations, evidence, compliance results, nutrition rows and scan statuses, each its own table
-    with one folder per batch: a batch written again replaces its own rows and no others."""
-    for name, df in facts.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+    """Declarations, evidence, compliance results, nutrition rows and scan statuses of one batch, visible
+    together: read them with `commits.read_batches`. A batch written again replaces its own rows."""
+    write_batch(facts, folder, batch)
 
 
-def replace_cache(cache: DataFrame, answers: DataFrame, target: str) -> None:
-    """Newest answer per barcode, written beside the old cache (a table cannot replace its own input)."""
-    newest_cache(cache, answers).write.mode("overwrite").parquet(target)
+def write_report_rows(parts: dict[str, DataFrame], folder: str, batch: str) -> None:
+    """Report tables of one batch as JSON lines; a report is the rows of one scan across them."""
+    write_batch(parts, folder, batch, "json")
 
 
-def write_report_rows(parts: dict[str, DataFrame], folder: str) -> None:
-    """Report tables as JSON lines; a report is the rows of one scan across them."""
-    for name, df in parts.items():
-        df.write.mode("overwrite").json(f"{folder}/{name}")
+def upsert_cache(store: KeyedStore, answers: DataFrame) -> list[int]:
+    """Newest answer per barcode, misses included; only the buckets of the answers are written."""
+    return store.merge(answers, newest_cache)
+
+
+def insert_products(store: KeyedStore, fresh: DataFrame) -> list[int]:
+    """Products under a barcode that the store does not have yet; stored ones stay as they are. Of
+    several new rows under one barcode the least stays."""
+
+    def merged(stored: DataFrame, new: DataFrame) -> DataFrame:
+        rest = [c for c in stored.columns if c != store.key]
+        one = new.groupBy(store.key).agg(F.min(F.struct(*rest)).alias("row")).select(store.key, "row.*")
+        return stored.unionByName(one.join(stored.select(store.key), store.key, "left_anti"))
+
+    return store.merge(fresh, merged)
 
 
 def export_records(scan_ids: DataFrame, fmt: str) -> DataFrame:
