@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelspark import fixed
 from labelspark.functions.geometry import clamp_box, iou
 from labelspark.functions.text import rounded
+from labelspark.operators.components import components
 from labelspark.operators.ordered import first_k
 from labelspark.session import ensure_checkpoint_dir
 
 _BOX = ["x", "y", "w", "h"]
-# Distinct boxes of one image up to which they are folded in one row.
-FOLD_LIMIT = 2048
 
 
 def _box(prefix: str = "") -> Column:
@@ -45,31 +46,45 @@ def text_envelope(components: DataFrame) -> DataFrame:
     return ends.select("image_id", clamp_box(padded, F.col("image_w"), F.col("image_h")).alias("b")).select("image_id", "b.*")
 
 
-def suppress_overlaps(boxes: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def suppress_overlaps(boxes: DataFrame) -> DataFrame:
     """Drop a box that overlaps an already kept one by more than 0.85, in input order.
 
-    Copies of a box can only be dropped, so boxes are made distinct first. An image with up to
-    `fold_limit` distinct boxes is folded on one row; larger ones go through rounds in which boxes
-    meet only within their grid cell. Both give the sequential result. The rounds need an action
-    to see whether such an image exists.
+    Copies of a box can only be dropped, so boxes are made distinct first. Boxes meet in grid cells,
+    and only those with a rival go further: chains of rivals form components, found in a number of
+    rounds that grows with the logarithm of their size, and each component is decided in input order
+    by one task. Boxes of one image are spread over its components; a component itself is one task's
+    work, linear in its boxes and rival pairs.
     """
+    ensure_checkpoint_dir(boxes.sparkSession)
     distinct = boxes.groupBy("image_id", *_BOX).agg(F.min("ord").alias("ord"))
-    sizes = distinct.groupBy("image_id").agg(F.count("*").alias("n"))
-    small = distinct.join(sizes.filter(F.col("n") <= fold_limit).select("image_id"), "image_id", "left_semi")
-    kept = _fold(small)
-    large_ids = sizes.filter(F.col("n") > fold_limit).select("image_id")
-    if not large_ids.isEmpty():
-        kept = kept.unionByName(_rounds(distinct.join(large_ids, "image_id", "left_semi")))
-    return boxes.join(kept, ["image_id", "ord", *_BOX], "left_semi")
+    # Nodes are named by two hashes of image and box; the box itself travels along and decides.
+    pairs = _conflicts(distinct).withColumns({"a": _node(), "b": _node("r_")}).checkpoint()
+    groups = components(pairs.select("a", "b"))
+    key = ["image_id", "ord", *_BOX]
+    lost = (
+        pairs.join(groups.select(F.col("node").alias("a"), "root"), "a")
+        .select("root", *key, F.col("a").alias("later"), F.col("b").alias("earlier"))
+        .groupBy("root").applyInPandas(_losers, T.StructType([distinct.schema[c] for c in key]))
+    )
+    kept = distinct.join(lost, key, "left_anti")
+    return boxes.join(kept, key, "left_semi")
+
+
+def _node(prefix: str = "") -> Column:
+    """A box of an image as 32 hex digits."""
+    members = [F.col("image_id"), F.col(prefix + "ord"), *[F.col(prefix + c) for c in _BOX]]
+    return F.md5(F.concat_ws("/", *[c.cast("string") for c in members]))
 
 
-def _fold(distinct: DataFrame) -> DataFrame:
-    ordered = distinct.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ord", *_BOX))).alias("boxes"))
-    step = lambda kept, box: F.when(
-        F.exists(kept, lambda k: iou(box, k) > fixed.REGION_OVERLAP), kept
-    ).otherwise(F.array_append(kept, box))
-    kept = F.aggregate("boxes", F.slice("boxes", 1, 0), step)
-    return ordered.select("image_id", F.explode(kept).alias("b")).select("image_id", "b.*")
+def _losers(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Boxes of a component that lose to an earlier kept one; every row is a box and one earlier rival.
+    In input order a rival is decided before the boxes that it may drop."""
+    lost = set()
+    ordered = pairs.sort_values(["ord", *_BOX])
+    for later, earlier in zip(ordered["later"], ordered["earlier"]):
+        if earlier not in lost:
+            lost.add(later)
+    return ordered[ordered["later"].isin(lost)].drop_duplicates("later")[["image_id", "ord", *_BOX]]
 
 
 def _conflicts(distinct: DataFrame) -> DataFrame:
@@ -97,30 +112,6 @@ def _conflicts(distinct: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _rounds(distinct: DataFrame) -> DataFrame:
-    """Boxes without an undecided earlier rival are kept, their later rivals dropped; repeat."""
-    ensure_checkpoint_dir(distinct.sparkSession)
-    key = ["image_id", "ord", *_BOX]
-    rival = ["image_id", "r_ord", *[f"r_{c}" for c in _BOX]]
-    undecided = distinct.select(*key).checkpoint()
-    edges = _conflicts(undecided).checkpoint()
-    kept = undecided.limit(0)
-    while not undecided.isEmpty():
-        blocked = edges.select(*key).distinct()
-        free = undecided.join(blocked, key, "left_anti").checkpoint()
-        as_rival = free.toDF(*rival)
-        dropped = edges.join(as_rival, rival, "left_semi").select(*key).distinct().checkpoint()
-        kept = kept.unionByName(free)
-        undecided = undecided.join(free, key, "left_anti").join(dropped, key, "left_anti").checkpoint()
-        edges = (
-            edges.join(dropped, key, "left_anti")
-            .join(dropped.toDF(*rival), rival, "left_anti")
-            .join(as_rival, rival, "left_anti")
-            .checkpoint()
-        )
-    return kept
-
-
 def score_regions(boxes: DataFrame) -> DataFrame:
     """Score from relative area, text density and centrality; the fallback box counts for less."""
     area = F.col("w") * F.col("h") / (F.col("image_w") * F.col("image_h"))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from labelspark.operators import lists as Q
 from labelspark.operators import quality as V
 from labelspark.operators import regions as Z
+from labelspark.operators.components import components
 from labelspark.operators.ordered import with_previous
 from labelspark.plans.judging_queries import _cache, _catalog
 from labelspark.plans.views import view
@@ -42,14 +43,45 @@ def plain_suppression(rows):
     return {k for mine in kept.values() for k in mine}
 
 
-@pytest.mark.parametrize("fold_limit", [2048, 10])
-def test_suppression(spark, fold_limit):
-    """The fold and the rounds of the large-image path give the sequential result."""
+def test_suppression(spark):
+    """Components decided one by one give the sequential result."""
     rows = random_boxes(3, 4, 60)
-    kept = Z.suppress_overlaps(spark.createDataFrame(rows, BOX_DDL), fold_limit).collect()
+    kept = Z.suppress_overlaps(spark.createDataFrame(rows, BOX_DDL)).collect()
     assert {tuple(r) for r in kept} == plain_suppression(rows)
 
 
+def test_suppression_of_a_long_chain(spark):
+    """Each box overlaps only the next few: one component of 10,000 boxes in a shuffled input order."""
+    order = list(range(10_000))
+    random.Random(5).shuffle(order)
+    rows = [(1, order[i], 10.0 * i, 0.0, 200.0, 100.0) for i in range(10_000)]
+    rows += [(1, order[3], *rows[3][2:]), (2, 0, 1.0, 1.0, 0.0, 5.0)]
+    kept = {(r.ord, r.x) for r in Z.suppress_overlaps(spark.createDataFrame(rows, BOX_DDL)).filter("image_id = 1").collect()}
+    taken = {}
+    for _, ord_, *box in sorted(rows[:10_000]):
+        if not any(plain_iou(box, taken[x]) > 0.85 for x in (box[0] - 10, box[0] + 10) if x in taken):
+            taken[box[0]] = box
+    assert {x for _, x in kept} == set(taken)
+    assert len(kept) == len(taken)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    source = random.Random(seed)
+    edges = [(source.randrange(300), source.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1400)]
+    edges += [(2000, i) for i in range(2001, 2200)] + [(None, 5), (7, 7)]
+    root = {n: n for e in edges for n in e if n is not None}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a is not None and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert found == root
+
+
 def test_with_previous_over_blocks(spark):
     rng = random.Random(1)
     rows = [(k, t, t // 5, rng.randint(0, 99)) for k in range(3) for t in range(60) if rng.random() < 0.6]
