@@ -70,7 +70,8 @@ def fuse_field(
     field: str, ocr: Column, ocr_confidence: Column, provider: Column,
     provider_confidence: Column | None = None,
 ) -> Column:
-    """(status, value, confidence): missing, passed through, agreed or in conflict."""
+    """(status, value, confidence, conflict_values): missing, passed through, agreed or in conflict; the
+    last member holds the label's and the catalog's value when they disagree."""
     trust = F.lit(1.0) if provider_confidence is None else provider_confidence
     has_ocr, has_provider = ocr.isNotNull(), provider.isNotNull()
     both = has_ocr & has_provider
@@ -88,4 +89,7 @@ def fuse_field(
         .when(has_provider, trust)
         .otherwise(0.0)
     )
-    return F.struct(status.alias("status"), value.alias("value"), confidence.alias("confidence"))
+    return F.struct(
+        status.alias("status"), value.alias("value"), confidence.alias("confidence"),
+        F.when(both & ~agree, F.array(ocr, provider)).alias("conflict_values"),
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspark import fixed
+from labelspark.functions.display import format_value
 from labelspark.functions.fields import compare_dates
 from labelspark.functions.fusion import fuse_field, typed_value
 from labelspark.operators.catalog import image_of_panel, no_scale, panel_images
@@ -65,13 +66,15 @@ def _fused(field: str) -> Column:
     conflict = F.coalesce(F.col(f"{field}_conflict"), F.lit(False)) | (fused["status"] == "conflict")
     missing = ~conflict & (fused["status"] == "missing")
     raw = F.coalesce(F.col(field)["value"]["raw_text"], F.lit(""))
+    clash = lambda i: format_value(F.lit(field), fused["conflict_values"][i])
+    detail = F.coalesce(F.concat(F.lit(": OCR="), clash(0), F.lit(" vs provider="), clash(1)), F.lit(""))
     # A value without OCR text and without catalog evidence has nothing to stand on.
     groundless = ~conflict & ~missing & (raw == "") & _provider_value(field).isNull()
     return _declared(
         field,
         F.when(~conflict & ~missing & ~groundless, fused["value"]),
         F.when(conflict, "CONFLICT").when(missing | groundless, "NOT_VERIFIED").otherwise("SATISFIED"),
-        F.when(conflict, f"conflicting evidence for '{field}'")
+        F.when(conflict, F.concat(F.lit(f"conflicting evidence for '{field}'"), F.when(fused["status"] == "conflict", detail).otherwise("")))
         .when(missing, f"{field} not found in any evidence source")
         .when(groundless, f"{field}: extraction produced value without evidence (guardrail)"),
         F.when(conflict, 0.0).otherwise(fused["confidence"]),
@@ -170,6 +173,7 @@ def build_declarations(
     )
     return fused.select(
         "scan_id", "barcode", "product", "date_comparison", "nutrients",
+        F.struct(*[F.col(f"fused_{f}")["conflict_values"].alias(f) for f in FUSED]).alias("conflict_values"),
         *[F.col(f"{f}_conflict") for f in FUSED],
         *[F.coalesce(F.col(f)["value"]["confidence"], F.lit(0.0)).alias(f"{f}_ocr_confidence") for f in FUSED],
         F.array(
@@ -182,6 +186,17 @@ def declaration_rows(declared: DataFrame) -> DataFrame:
     return declared.select("scan_id", F.explode("declared").alias("d")).select("scan_id", "d.*")
 
 
+def conflict_rows(declared: DataFrame) -> DataFrame:
+    """Both values of every field on which label and catalog disagree: one row per source."""
+    fields = F.array(*[
+        F.struct(F.lit(f).alias("field_name"), F.col("conflict_values")[f].alias("values")) for f in FUSED
+    ])
+    clashes = declared.select("scan_id", F.explode(F.filter(fields, lambda c: c["values"].isNotNull())).alias("c"))
+    return clashes.select("scan_id", "c.field_name", F.posexplode("c.values").alias("pos", "value")).select(
+        "scan_id", "field_name", F.when(F.col("pos") == 0, "OCR").otherwise("PRODUCT_DATABASE").alias("source_type"), "value"
+    )
+
+
 def evidence_rows(declared: DataFrame, candidates: DataFrame, statuses: DataFrame, images: DataFrame) -> DataFrame:
     """One row per source of each declaration, with the image of its panel.
 

@@ -149,6 +149,61 @@ def evidence_groups(declarations: DataFrame, linked: DataFrame, symbols: DataFra
     return own.unionByName(unlinked)
 
 
+_EVIDENCE = ["source_type", "raw_text", "confidence", "image_id", "extracted_at"]
+
+
+def evidence_items(declarations: DataFrame, linked: DataFrame, unlinked: DataFrame) -> DataFrame:
+    """The evidence itself, one row per item: that of each declaration (a declaration without any has
+    one row with nulls), and the items that belong to none, as `barcode_qr`, under the scan of their
+    image. A declaration with very many items stays many rows. `unlinked` without a confidence column
+    was decoded, not read, and has confidence 1."""
+    own = declarations.select("scan_id", "declaration_id", "field_name").join(
+        linked.select("declaration_id", *_EVIDENCE), "declaration_id", "left"
+    )
+    if "confidence" not in unlinked.columns:
+        unlinked = unlinked.withColumn("confidence", F.lit(1.0))
+    rest = unlinked.select(
+        "scan_id", F.lit(None).cast(declarations.schema["declaration_id"].dataType).alias("declaration_id"),
+        F.lit("barcode_qr").alias("field_name"), *_EVIDENCE,
+    )
+    return own.unionByName(rest)
+
+
+def scan_parts(scans: DataFrame, images: DataFrame, declarations: DataFrame, linked: DataFrame) -> DataFrame:
+    """A scan in full, one row per part: its images, its declarations with confidence and reason, and each
+    declaration's evidence. `owner_id` is the declaration that an evidence row belongs to, `part_id` the
+    image, the declaration, or the image of the evidence. A scan without parts has one row."""
+    none = lambda kind: F.lit(None).cast(kind)
+    panels = images.select(
+        "scan_id", F.lit("image").alias("part"), F.col("image_id").alias("part_id"), none("bigint").alias("owner_id"),
+        F.col("label").alias("name"), F.col("url").alias("detail"), none("string").alias("reason"), none("double").alias("confidence"),
+    )
+    fields = declarations.select(
+        "scan_id", F.lit("declaration").alias("part"), F.col("declaration_id").alias("part_id"), none("bigint").alias("owner_id"),
+        F.col("field_name").alias("name"), F.col("verdict").alias("detail"), "reason", "confidence",
+    )
+    items = linked.join(declarations.select("declaration_id", "scan_id"), "declaration_id").select(
+        "scan_id", F.lit("evidence").alias("part"), F.col("image_id").alias("part_id"), F.col("declaration_id").alias("owner_id"),
+        F.col("source_type").alias("name"), F.col("raw_text").alias("detail"), none("string").alias("reason"), "confidence",
+    )
+    return scans.select("scan_id", "product_id", "status", "overall_status", "created_at").join(
+        panels.unionByName(fields).unionByName(items), "scan_id", "left"
+    )
+
+
+def product_evidence(products: DataFrame, scans: DataFrame, declarations: DataFrame, linked: DataFrame) -> DataFrame:
+    """Products with brand, category and manufacturer, and every item of evidence of the declarations of
+    their latest scan, one row each; rows of a declaration without evidence and of a product without a
+    scan have nulls there."""
+    latest = latest_scans(scans).select("product_id", F.col("latest_scan_id").alias("scan_id"))
+    items = declarations.select("scan_id", "declaration_id", "field_name", "verdict").join(
+        linked.select("declaration_id", *_EVIDENCE[:-1]), "declaration_id", "left"
+    )
+    return products.select("product_id", "identity", "brand", "category", "manufacturer").join(
+        latest, "product_id", "left"
+    ).join(items, "scan_id", "left")
+
+
 def scan_compliance(scans: DataFrame, declarations: DataFrame) -> DataFrame:
     return scans.select("scan_id", "overall_status").join(
         declarations.select("scan_id", "field_name", "verdict", "reason", "confidence"), "scan_id", "left"

@@ -200,6 +200,11 @@ def _reason_counts(spark, sf_dir):
     return _evaluate_table(spark, sf_dir).groupBy("field_name", "verdict", "reason").agg(F.count("*").alias("n"))
 
 
+def _conflict_values(spark, sf_dir):
+    rows = D.conflict_rows(declare(inputs(spark, sf_dir)))
+    return rows.select("scan_id", "field_name", "source_type", format_value(F.col("field_name"), F.col("value")).alias("display"))
+
+
 def _declarations(spark, sf_dir):
     rows = D.declaration_rows(declare(inputs(spark, sf_dir))).filter("field_name <> 'nutrition_facts'")
     return rows.select(
@@ -254,6 +259,7 @@ QUERIES = {
     "rule_reasons": _reason_counts,
     "worst_status": _overall,
     "scan_declarations": _declarations,
+    "scan_conflict_values": _conflict_values,
     "scan_evidence": _evidence,
     "scan_verdicts": _scan_verdicts,
     "scan_status_counts": _status_counts,
@@ -361,7 +367,7 @@ def _fused_sql(field: str, found: str, ocr: str, provider: str, same: str, ocr_t
     conflict = f"(coalesce(e.status = 'conflict', false) OR ({ocr} IS NOT NULL AND {provider} IS NOT NULL AND NOT {same}))"
     return f"""SELECT s.scan_id, '{field}' AS field_name,
    CASE WHEN {conflict} THEN 'CONFLICT' WHEN {ocr} IS NULL AND {provider} IS NULL THEN 'NOT_VERIFIED' ELSE 'SATISFIED' END AS verdict,
-   CASE WHEN {conflict} THEN 'conflicting evidence for ''{field}''' WHEN {ocr} IS NULL AND {provider} IS NULL THEN '{field} not found in any evidence source' END AS reason,
+   CASE WHEN {conflict} THEN 'conflicting evidence for ''{field}''' || CASE WHEN NOT {same} THEN coalesce(': OCR=' || {ocr_text} || ' vs provider=' || {provider_text}, '') ELSE '' END WHEN {ocr} IS NULL AND {provider} IS NULL THEN '{field} not found in any evidence source' END AS reason,
    CASE WHEN {conflict} THEN 0.0::DOUBLE WHEN {provider} IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(f.confidence, 0.0::DOUBLE) END AS confidence,
    coalesce(f.panel, 'front') AS panel, coalesce(f.raw_text, '') AS raw_text,
    CASE WHEN {conflict} THEN '—' WHEN {provider} IS NOT NULL THEN {provider_text} ELSE coalesce({ocr_text}, '—') END AS display,
@@ -389,16 +395,29 @@ def _date_declared(field: str, found: str) -> str:
   FROM clash s LEFT JOIN {found} f ON f.scan_id = s.scan_id"""
 
 
+_FUSED_ARGS = [
+    ("mrp", "price", "f.amount", "p.mrp_amount", _near("f.amount", "p.mrp_amount"), _money("f.amount", "f.currency"), _money("p.mrp_amount", "'INR'")),
+    (
+        "net_quantity", "quantity", "f.value", "p.quantity_value",
+        _near(f"f.value * {_UNITS.format('f.unit')}", f"p.quantity_value * {_UNITS.format('p.quantity_unit')}"),
+        "CAST(f.value AS VARCHAR) || ' ' || f.unit", "CAST(p.quantity_value AS VARCHAR) || ' ' || p.quantity_unit",
+    ),
+    ("manufacturer", "maker", "f.name", "p.manufacturer", "lower(trim(f.name)) = lower(trim(p.manufacturer))", "f.name", "p.manufacturer"),
+]
+
+
+def _clash_sql(field: str, found: str, ocr: str, provider: str, same: str, ocr_text: str, provider_text: str) -> str:
+    return f"""SELECT f.scan_id, '{field}' AS field_name, unnest(['OCR', 'PRODUCT_DATABASE']) AS source_type,
+   unnest([{ocr_text}, {provider_text}]) AS display FROM sids s JOIN {found} f ON f.scan_id = s.scan_id JOIN res p ON p.scan_id = s.scan_id
+  WHERE {ocr} IS NOT NULL AND {provider} IS NOT NULL AND NOT {same}"""
+
+
 _DECLARED_SQL = f"""
 {PRICE_SQL}, {QUANTITY_SQL}, {MAKER_SQL}, {_MADE}, {_EXPIRES}, {CAUTION_SQL}, {ENSEMBLE_SQL}, {_SYMBOLS_SQL},
 sids AS (SELECT scan_id FROM v_scans),
 clash AS (SELECT s.scan_id, coalesce(e.year < m.year OR (e.year = m.year AND (e.month < m.month OR (e.month = m.month AND e.day <= m.day))), false) AS clash
   FROM sids s LEFT JOIN made m ON m.scan_id = s.scan_id LEFT JOIN expires e ON e.scan_id = s.scan_id),
-decl AS ({_fused_sql('mrp', 'price', 'f.amount', 'p.mrp_amount', _near('f.amount', 'p.mrp_amount'), _money('f.amount', 'f.currency'), _money('p.mrp_amount', "'INR'"))}
- UNION ALL {_fused_sql('net_quantity', 'quantity', 'f.value', 'p.quantity_value',
-   _near(f"f.value * {_UNITS.format('f.unit')}", f"p.quantity_value * {_UNITS.format('p.quantity_unit')}"),
-   "CAST(f.value AS VARCHAR) || ' ' || f.unit", "CAST(p.quantity_value AS VARCHAR) || ' ' || p.quantity_unit")}
- UNION ALL {_fused_sql('manufacturer', 'maker', 'f.name', 'p.manufacturer', 'lower(trim(f.name)) = lower(trim(p.manufacturer))', 'f.name', 'p.manufacturer')}
+decl AS ({' UNION ALL '.join(_fused_sql(*args) for args in _FUSED_ARGS)}
  UNION ALL {_date_declared('manufacture_date', 'made')} UNION ALL {_date_declared('expiry_date', 'expires')}
  UNION ALL SELECT s.scan_id, 'cautions', 'SATISFIED', NULL, coalesce(c.confidence, 0.95::DOUBLE), coalesce(c.panel, 'front'), coalesce(c.raw_text, ''),
   CASE WHEN c.present THEN 'Present: ' || c.text ELSE 'Not present' END, true FROM sids s LEFT JOIN caution c ON c.scan_id = s.scan_id)"""
@@ -511,6 +530,9 @@ ORACLE = {
     "worst_status": with_views(
         "scans rule_sets declarations", f"WITH {_TABLE_RULES} SELECT scan_id, {_WORST} AS overall_status FROM outcome GROUP BY scan_id"
     ),
+    "scan_conflict_values": with_views(
+        "label_lines scans " + _SYM, f"WITH {_DECLARED_SQL} {' UNION ALL '.join(_clash_sql(*args) for args in _FUSED_ARGS)}"
+    ),
     "scan_declarations": with_views(
         "label_lines scans " + _SYM,
         f"""WITH {_DECLARED_SQL} SELECT scan_id, field_name, verdict, reason, confidence, panel, raw_text, display FROM decl""",

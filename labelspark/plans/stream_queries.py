@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from labelspark import fixed
+from labelspark.operators.catalog import known_products
 from labelspark.operators.rules import seed_missing, seeded_rules
 from labelspark.plans.judging_queries import RULE_SETS, _cache, _catalog
 from labelspark.plans.views import table, view, with_views
 from labelspark.session import ensure_checkpoint_dir
 from labelspark.sources import commits, readers, sinks
+from labelspark.streaming.answers import answered_symbols
 from labelspark.streaming.limiter import limit_attempts
 from labelspark.streaming.streams import daily_counts, stream_catalog_enrich
 
@@ -74,6 +76,13 @@ def _document_rejects(spark, sf_dir):
     return readers.read_catalog_rejects(spark, _document_folder(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("documents"))
 
 
+def _answered(spark, sf_dir):
+    """Symbols once the catalog's answers have come; the cache knows some before."""
+    catalog = known_products(_catalog(spark, sf_dir)).select("barcode", "product")
+    rows = answered_symbols(view(spark, sf_dir, "scan_symbols"), catalog, _cache(spark, sf_dir))
+    return rows.select("scan_id", "ord", "barcode", F.col("answer.name").alias("name"))
+
+
 def _stored_cache(spark, sf_dir):
     """A stored cache after the answers of every hundredth barcode: only their buckets are written again."""
     store = commits.KeyedStore(f"{ensure_checkpoint_dir(spark)}/cache-{uuid.uuid4().hex}", "barcode", 64)
@@ -110,6 +119,7 @@ def _committed_results(spark, sf_dir):
 
 
 QUERIES = {
+    "answered_symbols": _answered,
     "stored_product_cache": _stored_cache,
     "stored_products": _stored_products,
     "committed_results": _committed_results,
@@ -142,6 +152,12 @@ def _limit_sql(limit: int, seconds: int) -> str:
 
 
 ORACLE = {
+    "answered_symbols": with_views(
+        "scan_symbols product_cache catalog",
+        """SELECT scan_id, ord, data AS barcode, CASE WHEN NOT regexp_matches(data, '^[0-9]+$') THEN NULL WHEN c.barcode IS NOT NULL THEN c.name ELSE t.name END AS name
+           FROM v_scan_symbols s LEFT JOIN v_product_cache c ON c.barcode = s.data LEFT JOIN v_catalog t ON t.barcode = s.data
+           WHERE data IS NULL OR NOT regexp_matches(data, '^[0-9]+$') OR c.barcode IS NOT NULL OR t.barcode IS NOT NULL""",
+    ),
     "stored_product_cache": with_views(
         "product_cache products",
         """SELECT barcode_code AS barcode, identity AS name, 2 AS fetched_at FROM v_products WHERE product_id % 100 = 0 UNION ALL

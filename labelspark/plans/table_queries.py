@@ -10,6 +10,7 @@ from labelspark.functions import geometry as G
 from labelspark.functions.fusion import typed_value
 from labelspark.operators import lines as LN
 from labelspark.operators import lists as Q
+from labelspark.operators.latency import latency_quantiles, latency_sketches
 from labelspark.operators import quality as V
 from labelspark.operators import regions as Z
 from labelspark.operators import reports as P
@@ -142,6 +143,24 @@ def _evidence_groups(spark, sf_dir):
     return Q.evidence_groups(_declarations(spark, sf_dir), _linked(spark, sf_dir), _symbols(spark, sf_dir))
 
 
+def _evidence_items(spark, sf_dir):
+    rows = Q.evidence_items(_declarations(spark, sf_dir), _linked(spark, sf_dir), _unlinked(spark, sf_dir))
+    return rows.drop("extracted_at")
+
+
+def _unlinked(spark, sf_dir):
+    evidence = view(spark, sf_dir, "symbol_evidence")
+    return evidence.join(_images(spark, sf_dir).select("image_id", "scan_id"), "image_id")
+
+
+def _scan_parts(spark, sf_dir):
+    return Q.scan_parts(_scans(spark, sf_dir), _images(spark, sf_dir), _declarations(spark, sf_dir), _linked(spark, sf_dir)).drop("created_at")
+
+
+def _product_evidence(spark, sf_dir):
+    return Q.product_evidence(_products(spark, sf_dir), _scans(spark, sf_dir), _declarations(spark, sf_dir), _linked(spark, sf_dir))
+
+
 def _scan_compliance(spark, sf_dir):
     return Q.scan_compliance(_scans(spark, sf_dir), _declarations(spark, sf_dir))
 
@@ -264,6 +283,11 @@ def _stage_latency(spark, sf_dir):
     )
 
 
+def _latency_quantiles(spark, sf_dir):
+    """Quantiles of the first half year from daily sketches."""
+    return latency_quantiles(latency_sketches(view(spark, sf_dir, "log")), [0.5, 0.9, 0.99], last="2024-06-30")
+
+
 def _stage_median(spark, sf_dir):
     return Q.stage_latency(view(spark, sf_dir, "log")).select("stage", "event", "median_ms")
 
@@ -368,6 +392,9 @@ QUERIES = {
     "scan_detail": _scan_detail,
     "scan_quality_records": _scan_quality,
     "scan_evidence_groups": _evidence_groups,
+    "scan_evidence_items": _evidence_items,
+    "scan_parts": _scan_parts,
+    "product_evidence": _product_evidence,
     "scan_compliance": _scan_compliance,
     "scan_trace": _scan_trace,
     "apply_review_actions": _review_state,
@@ -387,6 +414,7 @@ QUERIES = {
     "format_value": _format_values,
     "stage_latency": _stage_latency,
     "stage_median": _stage_median,
+    "latency_quantiles": _latency_quantiles,
     "requests_by_status": _requests,
     "engine_comparison": _engines,
     "classify_quality": _quality,
@@ -538,6 +566,26 @@ ORACLE = {
             LEFT JOIN v_declaration_evidence e ON e.declaration_id = d.declaration_id GROUP BY ALL
            UNION ALL SELECT i.scan_id, NULL, 'barcode_qr', count(*), NULL FROM v_symbol_evidence e JOIN v_images i ON i.image_id = e.image_id GROUP BY i.scan_id""",
     ),
+    "scan_evidence_items": with_views(
+        "declarations declaration_evidence symbol_evidence images",
+        """SELECT d.scan_id, d.declaration_id, field_name, source_type, raw_text, e.confidence, image_id FROM v_declarations d
+            LEFT JOIN v_declaration_evidence e ON e.declaration_id = d.declaration_id
+           UNION ALL SELECT i.scan_id, NULL, 'barcode_qr', source_type, raw_text, 1.0::DOUBLE, e.image_id FROM v_symbol_evidence e JOIN v_images i ON i.image_id = e.image_id""",
+    ),
+    "scan_parts": with_views(
+        "scans images declarations declaration_evidence",
+        """SELECT s.scan_id, product_id, status, overall_status, part, part_id, owner_id, name, detail, reason, confidence FROM v_scans s LEFT JOIN (
+            SELECT scan_id, 'image' AS part, image_id AS part_id, NULL::BIGINT AS owner_id, label AS name, url AS detail, NULL AS reason, NULL::DOUBLE AS confidence FROM v_images
+            UNION ALL SELECT scan_id, 'declaration', declaration_id, NULL, field_name, verdict, reason, confidence FROM v_declarations
+            UNION ALL SELECT scan_id, 'evidence', image_id, e.declaration_id, source_type, raw_text, NULL, e.confidence
+             FROM v_declaration_evidence e JOIN v_declarations d ON d.declaration_id = e.declaration_id) p ON p.scan_id = s.scan_id""",
+    ),
+    "product_evidence": with_views(
+        "products scans declarations declaration_evidence",
+        f"""WITH {_LATEST} SELECT p.product_id, identity, brand, category, manufacturer, l.scan_id, d.declaration_id, field_name, verdict,
+             source_type, raw_text, e.confidence, image_id FROM v_products p LEFT JOIN lats l ON l.product_id = p.product_id
+            LEFT JOIN v_declarations d ON d.scan_id = l.scan_id LEFT JOIN v_declaration_evidence e ON e.declaration_id = d.declaration_id""",
+    ),
     "scan_compliance": with_views(
         "scans declarations",
         "SELECT s.scan_id, overall_status, field_name, verdict, reason, confidence FROM v_scans s LEFT JOIN v_declarations d ON d.scan_id = s.scan_id",

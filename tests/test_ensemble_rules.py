@@ -92,6 +92,7 @@ def test_fusion(spark):
     assert [(r.status, r.value.value if r.value else None, r.confidence) for r in row] == [
         ("agreed", 0.5, 1.0), ("conflict", None, 0.0), ("agreed", 500.0, 0.7), ("agreed", 1.0, 1.0), ("missing", None, 0.0),
     ]
+    assert [r.conflict_values and [v.value for v in r.conflict_values] for r in row] == [None, [500.0, 300.0], None, None, None]
 
 
 
