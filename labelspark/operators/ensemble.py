@@ -13,29 +13,54 @@ from pyspark.sql import functions as F
 from labelspark import fixed
 from labelspark.functions.geometry import iou
 from labelspark.functions.text import comparison_key, holds_any, plain, strip
+from labelspark.session import staged
 
 _KEY = ["scan_id", "field_name"]
 _CANDIDATE = ["text_key", "x", "y", "w", "h", "confidence"]
 
 
-def field_candidates(lines: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """One row per (line, field) whose field pattern matches; blank lines give none."""
+_LINE = ["scan_id", "panel", "line_no", "text", "confidence", "bbox", "source_provider", "preprocessing_variant"]
+
+
+def _fields_found(fields: list[str] | None) -> Column:
+    """Array of (field_name, context_hint) of the patterns that match, from `lowered` and `readable`."""
     readable = F.col("readable")
-    base = ["scan_id", "panel", "line_no", "text", "confidence", "bbox", "source_provider", "preprocessing_variant"]
 
     def found(name: str, pattern: str) -> Column:
         words = fixed.CANDIDATE_WORDS.get(name)
         return holds_any(F.col("lowered"), words) & readable.rlike(pattern) if words else readable.rlike(pattern)
 
-    names = [
+    return F.array_compact(F.array(*[
         F.when(found(name, pattern), F.struct(F.lit(name).alias("field_name"), F.lit(hint).alias("context_hint")))
         for name, pattern, hint in fixed.CANDIDATE_PATTERNS
         if fields is None or name in fields
-    ]
+    ]))
+
+
+def candidate_marks(lines: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """The lines with `candidate_of`, the fields whose pattern matches the line, and `is_candidate`.
+    Marked lines can be stored; `field_candidates` reads the marks then."""
+    own = lines.columns
+    return (
+        lines.withColumn("stripped", strip(F.col("text")))
+        .select(*own, F.lower("stripped").alias("lowered"), plain(F.col("stripped")).alias("readable"))
+        .select(*own, _fields_found(fields).alias("candidate_of"))
+        .withColumn("is_candidate", F.size("candidate_of") > 0)
+    )
+
+
+def field_candidates(lines: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """One row per (line, field) whose field pattern matches; blank lines give none. Stored marks are
+    used where the lines have them."""
+    if "candidate_of" in lines.columns:
+        rows = lines.filter("is_candidate").withColumn("text", strip(F.col("text"))).select(*_LINE, F.inline("candidate_of"))
+        return rows if fields is None else rows.filter(F.col("field_name").isin(fields))
     return (
         lines.withColumn("text", strip(F.col("text")))
-        .select(*base, F.lower("text").alias("lowered"), plain(F.col("text")).alias("readable"))
-        .select(*base, F.inline(F.array_compact(F.array(*names))))
+        .select(*_LINE, F.lower("text").alias("lowered"), plain(F.col("text")).alias("readable"))
+        # Inline of the expression itself: over a column of its own Spark would put a filter on its
+        # size below, and try every pattern twice.
+        .select(*_LINE, F.inline(_fields_found(fields)))
     )
 
 
@@ -65,9 +90,6 @@ def _counted(candidates: DataFrame) -> DataFrame:
         )
         .groupBy(*_KEY, *_CANDIDATE)
         .agg(F.count("*").alias("n"), F.min("first").alias("first"))
-        # Always true. It makes every use below need the same columns, so that Spark computes the
-        # shuffle of this aggregate once and reuses it.
-        .filter("first is not null AND n > 0")
     )
 
 
@@ -114,9 +136,10 @@ def ensemble(candidates: DataFrame) -> DataFrame:
 
     agreed: one candidate, or more agreeing than other pairs; then the winner has the highest
     confidence * (1 + agreements), the earliest on ties. conflict otherwise: no value, and the
-    candidate rows are its description (`conflict_candidates`).
+    candidate rows are its description (`conflict_candidates`). The counted candidates are written
+    once, so the lines are read once for all the uses below.
     """
-    counted = _counted(candidates)
+    counted = staged(_counted(candidates), "candidates")
     sizes = (
         counted.groupBy(*_KEY, "text_key")
         .agg(F.sum("n").alias("same_text"), F.min("first").alias("first"), F.max("confidence").alias("top"))

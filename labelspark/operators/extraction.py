@@ -14,6 +14,7 @@ from labelspark import fixed
 from labelspark.functions import fields
 from labelspark.functions.text import contains_any, holds_any, plain, rounded, strip
 from labelspark.operators.ordered import BLOCK, first_k, with_previous
+from labelspark.session import staged
 
 PANELS = ["front", "back"]
 
@@ -85,42 +86,71 @@ _SCORED = {
 }
 
 
-def line_states(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Winning lines per (scan, panel).
+_MARKS = [*_SCORED, "spelled", "quantity_first", "caution", "footnote", "nutrition"]
+
+
+def line_marks(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """The lines with what every later step asks of their text: `<winner>_length` (null without the
+    winner's word) and `is_<mark>`.
 
     The tests are staged (lower case once, words, patterns behind their words) so that no regular
-    expression is evaluated twice or on a line that cannot win.
+    expression is evaluated twice or on a line that cannot win. Marked lines can be stored: the steps
+    below take lines with or without marks.
     """
-    wanted = [*_SCORED, "first_line", "spelled", "quantity_first", "caution"] if names is None else names
-    text, lowered, readable = F.col("text"), F.col("lowered"), F.col("readable")
+    wanted = _MARKS if names is None else names
+    own, lowered, readable = lines.columns, F.col("lowered"), F.col("readable")
     scored = [n for n in _SCORED if n in wanted]
-    base = ["scan_id", "panel", "line_no", "text", "confidence"]
-    staged = lines.select(*base, F.lower("text").alias("lowered"), plain(text).alias("readable")).select(
-        *base, "lowered", "readable",
-        *[holds_any(lowered, _SCORED[n][0]).alias(f"{n}_word") for n in scored],
-        *([holds_any(lowered, fixed.CAUTION_WORDS).alias("caution_word")] if "caution" in wanted else []),
-    ).select(
-        *base, "lowered", "readable",
-        *[F.when(F.col(f"{n}_word"), _match_length(readable, _SCORED[n][1])).alias(f"{n}_length") for n in scored],
-        *(
-            [(F.col("caution_word") & readable.rlike(fixed.CAUTION_PATTERN)).alias("is_caution")]
-            if "caution" in wanted else []
-        ),
+    words = {n: _SCORED[n][0] for n in scored}
+    if "caution" in wanted:
+        words["caution"] = fixed.CAUTION_WORDS
+    if "footnote" in wanted:
+        words["footnote"] = fixed.MANUFACTURER_WORDS
+    tests = {
+        "spelled": lambda: lowered.contains("maximum") & lowered.contains("retail"),
+        "quantity_first": lambda: readable.rlike(fixed.NUMBER_UNIT_HINT) & readable.rlike(fixed.NUMBER_UNIT),
+        "caution": lambda: F.col("caution_word") & readable.rlike(fixed.CAUTION_PATTERN),
+        "footnote": lambda: F.col("footnote_word") & readable.rlike(fixed.HEADER_SIGNALS),
+        "nutrition": lambda: lowered.contains("nutri"),
+    }
+    return (
+        lines.select(*own, F.lower("text").alias("lowered"), plain(F.col("text")).alias("readable"))
+        .select(*own, "lowered", "readable", *[holds_any(lowered, w).alias(f"{n}_word") for n, w in words.items()])
+        .select(
+            *own,
+            *[F.when(F.col(f"{n}_word"), _match_length(readable, _SCORED[n][1])).alias(f"{n}_length") for n in scored],
+            *[test().alias(f"is_{n}") for n, test in tests.items() if n in wanted],
+        )
     )
+
+
+def _mark_column(name: str) -> str:
+    return f"{name}_length" if name in _SCORED else f"is_{name}"
+
+
+def _marked(lines: DataFrame, names: list[str]) -> DataFrame:
+    """Lines with these marks, which stored lines have already."""
+    columns = [_mark_column(n) for n in names]
+    return lines if set(columns) <= set(lines.columns) else line_marks(lines.drop(*columns), names)
+
+
+def line_states(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Winning lines per (scan, panel)."""
+    wanted = [*_SCORED, "first_line", "spelled", "quantity_first", "caution"] if names is None else names
+    scored = [n for n in _SCORED if n in wanted]
+    stored = [c for c in map(_mark_column, _MARKS) if c in lines.columns]
+    base = lines.select("scan_id", "panel", "line_no", "text", "confidence", *stored)
     others = {
         "first_line": lambda: F.min("line_no"),
-        "spelled": lambda: F.min(_positioned(lowered.contains("maximum") & lowered.contains("retail"))),
-        "quantity_first": lambda: F.min(
-            _positioned(readable.rlike(fixed.NUMBER_UNIT_HINT) & readable.rlike(fixed.NUMBER_UNIT))
-        ),
+        "spelled": lambda: F.min(_positioned(F.col("is_spelled"))),
+        "quantity_first": lambda: F.min(_positioned(F.col("is_quantity_first"))),
         "caution": lambda: F.max(
             F.when(
                 F.col("is_caution") & (F.col("confidence") > 0),
-                F.struct(F.col("confidence"), (-F.col("line_no")).alias("back"), text.alias("text")),
+                F.struct(F.col("confidence"), (-F.col("line_no")).alias("back"), F.col("text")),
             )
         ),
     }
-    return staged.groupBy("scan_id", "panel").agg(
+    return _marked(base, [n for n in wanted if n in _MARKS]).groupBy("scan_id", "panel").agg(
         *[F.max(_scored(F.col(f"{n}_length"), F.lit(True))).alias(n) for n in scored],
         *[build().alias(n) for n, build in others.items() if n in wanted],
     )
@@ -198,12 +228,10 @@ def above_footnote(lines: DataFrame) -> DataFrame:
     Only scans with such a footnote take part. A footnote text occurring again (same text and
     confidence) looks above its first occurrence, so later copies add nothing.
     """
-    text = F.col("text")
-    footnote = contains_any(text, fixed.MANUFACTURER_WORDS) & plain(text).rlike(fixed.HEADER_SIGNALS)
-    scans = lines.filter(footnote).select("scan_id").distinct()
+    marked = _marked(lines, ["footnote"]).select("scan_id", "panel", "line_no", "text", "confidence", "is_footnote")
+    scans = marked.filter("is_footnote").select("scan_id").distinct()
     ordered = (
-        lines.select("scan_id", "panel", "line_no", "text", "confidence")
-        .join(scans, "scan_id", "left_semi")
+        marked.join(scans, "scan_id", "left_semi")
         .withColumn("panel_rank", panel_rank(F.col("panel")))
         .withColumn("line_block", F.floor(F.col("line_no") / BLOCK))
     )
@@ -211,7 +239,7 @@ def above_footnote(lines: DataFrame) -> DataFrame:
     seen = with_previous(
         ordered, ["scan_id"], ["panel_rank", "line_block"], order,
         F.struct("panel", "text", "confidence"), 3, "above",
-    ).filter(footnote)
+    ).filter("is_footnote")
 
     def name_in(candidates: Column) -> Column:
         named = F.transform(
@@ -224,10 +252,12 @@ def above_footnote(lines: DataFrame) -> DataFrame:
         name_in(F.filter("above", lambda c: c["panel"] == F.col("panel"))).alias("own"),
         name_in(F.col("above")).alias("merged"),
     )
-    # First occurrence of each footnote: within its panel, and within the whole scan.
-    own = (
+    # First occurrence of each footnote: within its panel, and within the whole scan. Written once,
+    # since both follow from it and it is far smaller than the lines.
+    own = staged(
         named.groupBy("scan_id", "panel", "text", "confidence")
-        .agg(F.min(F.struct("panel_rank", "line_no", "own", "merged")).alias("first"))
+        .agg(F.min(F.struct("panel_rank", "line_no", "own", "merged")).alias("first")),
+        "footnotes",
     )
     whole = (
         own.groupBy("scan_id", "text", "confidence")
@@ -250,12 +280,12 @@ def above_footnote(lines: DataFrame) -> DataFrame:
 
 def nutrition_window(lines: DataFrame) -> DataFrame:
     """The at most 20 lines after each scan's first "nutri" line, cut at a stop word."""
-    ordered = lines.select(
-        "scan_id", panel_rank(F.col("panel")).alias("panel_rank"), "line_no", "text", "confidence"
+    ordered = _marked(lines, ["nutrition"]).select(
+        "scan_id", panel_rank(F.col("panel")).alias("panel_rank"), "line_no", "text", "confidence", "is_nutrition"
     )
     order = ["panel_rank", "line_no", "text", "confidence"]
     header = (
-        ordered.filter(F.lower("text").contains("nutri"))
+        ordered.filter("is_nutrition")
         .groupBy("scan_id")
         .agg(F.min(F.struct(*order)).alias("header"))
     )

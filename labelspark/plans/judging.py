@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,8 @@ from labelspark.operators import catalog as C
 from labelspark.operators import declarations as D
 from labelspark.operators import ensemble as E
 from labelspark.operators import rules as R
-from labelspark.operators.extraction import extract_fields, nutrition_facts
+from labelspark.operators.extraction import extract_fields, line_marks, nutrition_facts
+from labelspark.session import staged
 
 
 @dataclass
@@ -28,8 +29,23 @@ class LabelInputs:
     rules: DataFrame
 
 
+_LINE = ["scan_id", "panel", "line_no", "text", "confidence", "bbox", "source_provider", "preprocessing_variant"]
+
+
+def read_once(inputs: LabelInputs) -> LabelInputs:
+    """The same inputs over stored lines: one pass over the lines tries every pattern and writes what
+    extraction, footnotes, nutrition and ensemble ask of a line; these read the stored marks with
+    their filters pushed down. The table is not bucketed by scan: a bucket is one task, and a scan may
+    hold a third of all lines, while the steps combine map-side and send a few rows per scan and task."""
+    if "candidate_of" in inputs.lines.columns:
+        return inputs
+    marked = E.candidate_marks(line_marks(inputs.lines.select(*_LINE)), D.FUSED)
+    return replace(inputs, lines=staged(marked, "lines"))
+
+
 def declare(inputs: LabelInputs) -> DataFrame:
     """One row per scan, with or without lines, with its declarations before the rules."""
+    inputs = read_once(inputs)
     candidates = E.field_candidates(inputs.lines, D.FUSED)
     deduped = C.dedupe_symbols(inputs.symbols)
     answers = C.lookup(

@@ -15,7 +15,7 @@ from labelspark.operators import rules as R
 from labelspark.plans.extraction_queries import (
     CAUTION_SQL, MAKER_SQL, NUTRITION_SQL, PRICE_SQL, QUANTITY_SQL, _EXPIRES, _MADE,
 )
-from labelspark.plans.judging import LabelInputs, declare, judge, judged_declarations
+from labelspark.plans.judging import LabelInputs, declare, judge, judged_declarations, read_once
 from labelspark.plans.text_queries import ENSEMBLE_SQL
 from labelspark.plans.views import label_lines, table, view, with_views
 from labelspark.functions.fields import catalog_quantity
@@ -214,7 +214,7 @@ def _declarations(spark, sf_dir):
 
 
 def _evidence(spark, sf_dir):
-    data = inputs(spark, sf_dir)
+    data = read_once(inputs(spark, sf_dir))
     candidates = E.field_candidates(data.lines, D.FUSED)
     rows = D.evidence_rows(declare(data), candidates, E.ensemble(candidates), C.resolve_images(view(spark, sf_dir, "images")))
     return rows.groupBy("field_name", "source_type", "preprocessing_variant").agg(
@@ -234,7 +234,7 @@ def _status_counts(spark, sf_dir):
 
 
 def _compliance(spark, sf_dir):
-    data = inputs(spark, sf_dir)
+    data = read_once(inputs(spark, sf_dir))
     return R.compliance_results(judged_declarations(data), X.nutrition_facts(data.lines)).groupBy("field_name", "rule_id", "status").agg(
         F.count("*").alias("n"), F.count_if(F.col("details").contains("per_nutrient")).alias("with_nutrients")
     )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -37,3 +38,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = configured or tempfile.mkdtemp(prefix="labelspark-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once as Parquet into the shared folder and read back. What is built on it reads the
+    file, with its filters and columns pushed down, however often it is used, and losing an executor
+    costs no more than a task. The write is a job that runs while the plan is built; the folder stays."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
