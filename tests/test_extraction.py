@@ -161,3 +161,28 @@ def test_other_scripts(spark, make_lines):
     assert b.manufacturer.value.name == "Acme \u0967 Ltd" and a.mrp.value.raw_text == "MRP \u20b9 \u0967\u0968\u0966.\u096b\u0966"
     row = spark.createDataFrame([("\u00a0 a\u2003\u00a0b\x1f",)], "t string").select(strip(F.col("t")).alias("s"), comparison_key(F.col("t")).alias("k")).first()
     assert (row.s, row.k) == ("a\u2003\u00a0b", "a b")
+
+
+def test_stored_marks_give_what_the_lines_give(spark, sf_dir):
+    """Every step that reads marks, over stored lines and over the lines themselves."""
+    from labelspark.operators import ensemble as E
+    from labelspark.operators import extraction as X
+    from labelspark.plans.views import label_lines
+    from labelspark.session import staged
+
+    lines = label_lines(spark, sf_dir)
+    stored = staged(E.candidate_marks(X.line_marks(lines)), "marked")
+    rows = lambda df: sorted(map(str, df.collect()))
+    for step in (X.extract_fields, X.nutrition_facts, E.field_candidates, lambda df: E.field_candidates(df, ["mrp"])):
+        assert rows(step(stored)) == rows(step(lines))
+
+
+def test_lines_with_a_column_named_like_a_mark(make_lines):
+    """A single column of such a name is not taken for stored marks of the step."""
+    from labelspark.operators import extraction as X
+    from pyspark.sql import functions as F
+
+    lines = make_lines({1: ["MRP Rs. 45.00", "Caution: keep dry"]})
+    named = lines.withColumn("price_length", F.lit("x")).withColumn("is_caution", F.lit("x"))
+    wanted = ["mrp", "cautions"]
+    assert X.extract_fields(named, wanted).collect() == X.extract_fields(lines, wanted).collect()
